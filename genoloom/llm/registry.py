@@ -6,10 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from genoloom.llm import bpe, rules, secrets, sharding, token_counts
+from genoloom.llm import bpe, decontam, quality, rules, secrets, sharding, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scan": secrets.op1_secret_scan,
+    "op2_decontamination": decontam.op2_decontamination,
+    "op3_quality": quality.op3_quality,
     "op6_bpe": bpe.op6_bpe,
     "op8_token_counts": token_counts.op8_token_counts,
     "op9_sharding": sharding.op9_sharding,
