@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from genoloom.llm import bpe, decontam, quality, rules, secrets, sharding, token_counts, warc
+from genoloom.llm import bpe, decontam, jaccard, quality, rules, secrets, sharding, token_counts, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scan": secrets.op1_secret_scan,
     "op2_decontamination": decontam.op2_decontamination,
     "op3_quality": quality.op3_quality,
+    "op5_jaccard_join": jaccard.op5_jaccard_join,
     "op6_bpe": bpe.op6_bpe,
     "op7_warc": warc.op7_warc,
     "op8_token_counts": token_counts.op8_token_counts,
