@@ -356,7 +356,10 @@ def keep_first(docs: DataFrame, **options) -> DataFrame:
     """One row of docs per class: the one with the smallest doc_id. Documents with an empty set all stay; of rows that repeat a doc_id and text, one stays."""
     found = join(docs, **options)
     drop = found.filter("component_id <> doc_id").select(F.col("doc_id").alias("__copy")).distinct()
-    return docs.join(drop, F.col("doc_id") == F.col("__copy"), "left_anti").dropDuplicates(["doc_id", "text"])
+    kept = docs.join(drop, F.col("doc_id") == F.col("__copy"), "left_anti")
+    if docs.groupBy("doc_id").count().filter("count > 1").isEmpty():
+        return kept
+    return kept.dropDuplicates(["doc_id", "text"])
 
 
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

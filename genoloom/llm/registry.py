@@ -6,21 +6,24 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from genoloom.llm import bpe, decontam, jaccard, quality, rules, secrets, sharding, token_counts, warc
+import corpus_pipeline
+from genoloom.llm import bpe, decontam, jaccard, quality, rules, secrets, sharding, sufdedup, token_counts, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scan": secrets.op1_secret_scan,
     "op2_decontamination": decontam.op2_decontamination,
     "op3_quality": quality.op3_quality,
+    "op4_suffix_dedup": sufdedup.op4_suffix_dedup,
     "op5_jaccard_join": jaccard.op5_jaccard_join,
     "op6_bpe": bpe.op6_bpe,
     "op7_warc": warc.op7_warc,
     "op8_token_counts": token_counts.op8_token_counts,
     "op9_sharding": sharding.op9_sharding,
     "op10_quality_rules": rules.op10_quality_rules,
+    "pipeline": corpus_pipeline.run,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {} if corpus_pipeline.ORACLE_SQL is None else {"pipeline": corpus_pipeline.ORACLE_SQL}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
