@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from genoloom.functions.alleles import oriented, overlaps
 from genoloom.operators import coding
 from genoloom.operators.intervals import nearest, overlap_join
+from genoloom.storage import stored
 
 #: Ranks of function classes, best first (fixed values).
 RANK = {"exonic": 0, "splicing": 1, "ncRNA_exonic": 2, "ncRNA_splicing": 3, "ncRNA_intronic": 4, "UTR5": 5, "UTR3": 5, "intronic": 6, "upstream": 7, "downstream": 7, "intergenic": 8}
@@ -160,8 +161,12 @@ COLUMNS = ("func", "gene", "detail", "exonic", "change")
 
 
 def gene_join(variants: DataFrame, transcripts: DataFrame, prefix: str = "g", splice: int = SPLICE, flank: int = FLANK, shift: int | None = None) -> DataFrame:
-    """variants with <prefix>_func, _gene, _detail, _exonic and _change. transcripts: from prepare()."""
-    best = reduce_hits(hits(variants, transcripts, splice, flank, shift), splice)
+    """variants with <prefix>_func, _gene, _detail, _exonic and _change. transcripts: from prepare().
+
+    The best hits, one narrow row a variant, are written to the shared folder: the variants without one are asked for their neighbours, and the range
+    join must not run twice.
+    """
+    best = stored(reduce_hits(hits(variants, transcripts, splice, flank, shift), splice), "gene")
     some = variants.join(best.withColumnRenamed("row_id", "__row"), F.col("row_id") == F.col("__row"), "left").drop("__row")
     near = intergenic(some.filter("func is null").select("row_id", "chrom", "start", "end", "ref"), transcripts)
     near = near.select(F.col("row_id").alias("__row"), *[F.col(c).alias(f"__{c}") for c in COLUMNS])

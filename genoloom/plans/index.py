@@ -13,19 +13,6 @@ KEY = ("chrom", "start", "end", "ref", "alt")
 VERSION = 2
 
 
-def scratch_folder(spark: SparkSession) -> str:
-    """A new folder under the session's shared one."""
-    import tempfile
-    import uuid
-
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        shared = "file://" + tempfile.mkdtemp(prefix="genoloom_")
-    return f"{shared.rstrip('/')}/index-{uuid.uuid4().hex}"
-
-
 def build(table: DataFrame, path: str, partitions: int | None = None) -> DataFrame:
     """Write a filter table range-partitioned and sorted by key, so that lookups prune files and row groups by their statistics. Returns it read back."""
     by = [F.col(k) for k in ("chrom", "start")]

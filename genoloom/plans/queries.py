@@ -13,6 +13,7 @@ from genoloom.operators import compare, filters, gene, left_align, regions, scor
 from genoloom.plans import annotate as plan
 from genoloom.plans import demo, index
 from genoloom.sources import readers, reference
+from genoloom.storage import scratch_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -61,7 +62,7 @@ def filter_strict_match(spark, sf):
 @query(ORACLES["filter_exact"])
 def index_lookup(spark, sf):
     """The exact join over an index: the table sorted by key in Parquet."""
-    table = index.build(demo.filter_db(spark, sf), index.scratch_folder(spark))
+    table = index.build(demo.filter_db(spark, sf), scratch_folder(spark, "index"))
     return filters.filter_join(demo.variants(spark, sf), table, ["value"]).select("row_id", F.col("v0").alias("value"))
 
 
