@@ -30,29 +30,19 @@ from pyspark.sql import functions as F
 
 from genoloom.llm import words as W
 from genoloom.llm.common import small_batches, stored, table
+from genoloom.llm.packing import planes, unplanes
 
 #: Bytes of a gram.
 GRAM = 32
 #: Bytes of text of one run, and of packed anchors that one task of the exchange should get.
-RUN_BYTES, BUCKET_BYTES = 32 << 20, 6 << 20
+RUN_BYTES, BUCKET_BYTES = 12 << 20, 4 << 20
 #: Bits of the fixed-size filter of documents in need of their text again. It only saves shuffling; joins decide.
-FILTER_BITS = 25
+FILTER_BITS = 24
 NULL_ID = (1 << 63) - 1
 #: Stretches of one gram that one task compares; more are compared string by string with a shuffle on each string's hash.
 GROUP = 200_000
 
 
-def planes(v: np.ndarray) -> bytes:
-    """The bytes of an array by significance, so that compression sees the zeros."""
-    v = np.ascontiguousarray(v)
-    return v.view(np.uint8).reshape(len(v), v.itemsize).T.tobytes() if len(v) else b""
-
-
-def unplanes(b: bytes, kind) -> np.ndarray:
-    size = np.dtype(kind).itemsize
-    return np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(size, -1).T).view(kind).ravel()
-
-
 def range_hash(total: np.ndarray, a: np.ndarray, z: np.ndarray) -> np.ndarray:
     """Hashes of data[a:z] from running totals."""
     with np.errstate(over="ignore"):
@@ -419,16 +409,21 @@ def _bit(ids: np.ndarray) -> np.ndarray:
     return (W.mix(ids.view(np.uint64).copy()) >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
 
 
+def _pick(b: pa.RecordBatch, bits, inside: bool):
+    """The rows (doc, text) of a batch that the filter lets through, or the others."""
+    ids = pc.fill_null(b["doc"], NULL_ID)
+    at = _bit(ids.to_numpy())
+    hit = (bits.value[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1
+    yield pa.RecordBatch.from_arrays([ids, b["text"]], names=["doc", "text"]).filter(pa.array(hit == inside))
+
+
 def _marked(docs: DataFrame, bits, inside: bool) -> DataFrame:
     """Documents (doc, part, text) that the filter lets through, or the others."""
 
     def run(batches):
         for b in batches:
-            ids = pc.fill_null(b["doc"], NULL_ID)
-            at = _bit(ids.to_numpy())
-            hit = (bits.value[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1
-            some = pa.RecordBatch.from_arrays([ids, b["text"]], names=["doc", "text"]).filter(pa.array(hit == inside))
-            yield pa.RecordBatch.from_arrays([some["doc"], pa.array(_part(some["text"]).view(np.int32)), some["text"]], names=["doc", "part", "text"])
+            for some in _pick(b, bits, inside):
+                yield pa.RecordBatch.from_arrays([some["doc"], pa.array(_part(some["text"]).view(np.int32)), some["text"]], names=["doc", "part", "text"])
 
     return docs.mapInArrow(run, "doc bigint, part int, text string")
 
@@ -498,8 +493,12 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                     out[k].append(x)
             yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("doc", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))]))
 
+    def finish_rest(batches):
+        for b in batches:
+            yield from finish([pa.RecordBatch.from_arrays([x["doc"], x["text"]], names=["doc", "text"]) for x in _pick(b, bits, False)])
+
     with_marks = _marked(docs, bits, True).join(starts, ["doc", "part"], "left").select("doc", "text", "starts").mapInArrow(finish, kind)
-    without = _marked(docs, bits, False).select("doc", "text").mapInArrow(finish, kind)
+    without = docs.mapInArrow(finish_rest, kind)
     return with_marks.unionByName(without).select(F.when(F.col("doc") != NULL_ID, F.col("doc")).alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans")
 
 

@@ -12,7 +12,7 @@ import pyarrow as pa
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
 #: Bytes of text that one pass of the kernels takes at most, unless one text alone is longer.
-PASS_BYTES = 1 << 21
+PASS_BYTES = 1 << 19
 
 
 def mix(h: np.ndarray) -> np.ndarray:
