@@ -24,8 +24,10 @@ from genoloom.llm.common import small_batches, stored, table
 
 #: Places of a window that each mask looks at.
 MASKS = ((0, 1, 2, 3, 4), (0, 1, 3, 5, 6), (0, 2, 3, 6, 7), (0, 1, 4, 6, 8))
-#: Bits of the filter of benchmark hashes: 16 a hash within these powers of two. Beyond, it lets more through, and nothing is lost.
+#: Bits of the filter of benchmark hashes: 256 a hash within these powers of two. Beyond, it lets more through, and nothing is lost.
 FILTER_BITS = (16, 24)
+#: Places in the filter that each hash sets and needs.
+PROBES = 3
 #: Copies of the benchmark's hashes, so that a passage that many documents hold is joined by as many tasks.
 SALTS = 16
 
@@ -76,15 +78,25 @@ def benchmark_seeds(items: DataFrame, id_col: str = "item_id", text_col: str = "
     return whole.select("item", F.explode("seeds").alias("s")).select("s.hash", "item", "s.at"), whole.select("item", "words")
 
 
+def _places(h: np.ndarray, power: int) -> list[np.ndarray]:
+    """The places of hashes in a filter of 2^power bits."""
+    out, h = [], h.copy()
+    for _ in range(PROBES):
+        out.append((h >> np.uint64(64 - power)).astype(np.int64))
+        W.mix(h)
+    return out
+
+
 def seed_filter(seeds: DataFrame) -> tuple[np.ndarray, int]:
     """A bitmap of the seeds' hashes, at most 2^24 bits, and its power of two. Tasks fill bitmaps; at most 8 reach the driver."""
     n = seeds.count()
-    power = min(max(int(n * 16).bit_length(), FILTER_BITS[0]), FILTER_BITS[1])
+    power = min(max(int(n * 256).bit_length(), FILTER_BITS[0]), FILTER_BITS[1])
 
     def run(batches):
         bits = np.zeros(1 << power, bool)
         for b in batches:
-            bits[(b["hash"].to_numpy().view(np.uint64) >> np.uint64(64 - power)).astype(np.int64)] = True
+            for at in _places(b["hash"].to_numpy().view(np.uint64), power):
+                bits[at] = True
         yield pa.RecordBatch.from_pydict({"bits": [np.packbits(bits).tobytes()]})
 
     out = np.zeros(1 << (power - 3), np.uint8)
@@ -109,7 +121,8 @@ def _hits(bits, reach: int):
                 w, _ = _words(b["text"][lo:hi])
                 found = []
                 for _, at, h in _seeds(w):
-                    ok = passed[(h >> np.uint64(64 - power)).astype(np.int64)]
+                    ok = np.flatnonzero(passed[(h >> np.uint64(64 - power)).astype(np.int64)])
+                    ok = ok[np.logical_and.reduce([passed[p] for p in _places(h[ok], power)])]
                     found.append(np.stack([at[ok], h[ok].view(np.int64)]))
                 hits = np.concatenate(found, axis=1)
                 if not hits.shape[1]:
