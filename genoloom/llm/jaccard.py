@@ -2,8 +2,8 @@
 
 Every document becomes the set of its word shingles; equal sets become one node. Two sets at the threshold share one of the first
 few members of each in any common order (rare members first here), so nodes meet by those members. Where they meet, size bands form
-tiles: only sets of compatible sizes share a tile, and 512-bit signatures bound their overlap from above, because each bit of the
-xor of two signatures stands for at least one member that they don't share. What passes is intersected exactly on sorted arrays.
+tiles: only sets of compatible sizes share a tile, and bitmap signatures bound their overlap from above, because each bit of the
+xor of two signatures stands for at least one member that they don't share. Larger sets have wider signatures; a wide one folds to a narrow one. What passes is intersected exactly on sorted arrays.
 
 Near copies are linked to the first of their group before that, and tiles then compare only nodes that are not in one class yet; so groups
 of copies cost in proportion to their size. No pair is left out but those that the bounds exclude or that are in one class already.
@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from genoloom.llm import words as W
 from genoloom.llm.common import small_batches, stored, table
 from genoloom.llm.components import components
+from genoloom.llm.packing import planes, unplanes
 
 #: Members whose share of the documents of a pass reaches this are ordered last; at most so many, the most frequent ones.
 HOT_SHARE, HOT_MEMBERS = 0.001, 1 << 17
@@ -33,8 +34,11 @@ HOT_SHARE, HOT_MEMBERS = 0.001, 1 << 17
 STAR_MEMBERS = 4
 #: Nodes of one tile; larger meetings are cut into blocks, each pair of blocks a tile.
 TILE = 2048
-#: Bits of the fixed-size filters of nodes and members. They only save shuffling; joins decide.
-FILTER_BITS = 25
+#: Powers of two between which the filters of nodes and members stay, 16 bits an entry. They only save shuffling; joins decide.
+FILTER_BITS = (20, 27)
+#: Members that one task of the exchange of prefixes should get.
+BUCKET_MEMBERS = 1 << 19
+#: Bits of the least signature; a set of more members has as many bits, rounded up to a power of two.
 SIGNATURE_BITS = 512
 #: Set members that are counted together for HOT_SHARE.
 PASS_MEMBERS = 1 << 21
@@ -68,13 +72,39 @@ def shingles(texts: pa.Array, k: int) -> list[np.ndarray]:
 
 def signature(members: np.ndarray) -> bytes:
     """Bit i is the parity of the members that hash to i."""
-    return np.packbits((np.bincount((members & np.uint64(SIGNATURE_BITS - 1)).astype(np.int64), minlength=SIGNATURE_BITS) & 1).astype(np.uint8)).tobytes()
+    bits = max(SIGNATURE_BITS, 1 << (len(members) - 1).bit_length()) if len(members) else SIGNATURE_BITS
+    return np.packbits((np.bincount((members & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(np.uint8)).tobytes()
+
+
+def fold(sig: np.ndarray, size: int) -> np.ndarray:
+    """A signature of fewer bytes: halves laid over each other by xor."""
+    while len(sig) > size:
+        sig = sig[: len(sig) // 2] ^ sig[len(sig) // 2 :]
+    return sig
+
+
+def first_length(n, percent: int):
+    """Members of which two sets at the threshold share one."""
+    return n - -(-percent * n // 100) + 1
+
+
+def spare(n, percent: int):
+    """Further members of the prefix: with them, two sets share one more than this."""
+    return np.maximum(first_length(n, percent) // 2, 1) - 1
+
+
+def needed(n, percent: int):
+    """Members of its prefix that a set shares with any partner: what the smallest partner's prefix guarantees."""
+    return spare(-(-percent * n // 100), percent) + 1
 
 
 def prefix(members: np.ndarray, hot: np.ndarray, rank: np.ndarray, percent: int) -> np.ndarray:
-    """The first members, of which two sets at the threshold share one: members that are not hot by hash, then hot ones by rank."""
+    """The first members in the common order: members that are not hot by hash, then hot ones by rank.
+
+    Two sets at the threshold share one of their first_length() first members, and needed() of them with spare() more.
+    """
     n = len(members)
-    p = n - -(-percent * n // 100) + 1
+    p = first_length(n, percent) + int(spare(n, percent))
     if len(hot):
         at = np.minimum(np.searchsorted(hot, members), len(hot) - 1)
         is_hot = hot[at] == members
@@ -114,28 +144,30 @@ def _hot_members(docs: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
     return members[order], rank[order]
 
 
-def _filter_of(column: DataFrame) -> np.ndarray:
-    """A bitmap of 2^FILTER_BITS bits over the one int64 column."""
+def _filter_of(column: DataFrame) -> tuple[np.ndarray, int]:
+    """A bitmap over the one int64 column and its power of two: at most 16 MB, from at most 4 tasks."""
     name = column.columns[0]
+    power = min(max((column.count() * 16).bit_length(), FILTER_BITS[0]), FILTER_BITS[1])
 
     def run(batches):
-        bits = np.zeros(1 << FILTER_BITS, bool)
+        bits = np.zeros(1 << power, bool)
         for b in batches:
-            bits[_bit(b[name].to_numpy())] = True
+            bits[_bit(b[name].to_numpy(), power)] = True
         yield pa.RecordBatch.from_pydict({"bits": [np.packbits(bits).tobytes()]})
 
-    out = np.zeros(1 << (FILTER_BITS - 3), np.uint8)
+    out = np.zeros(1 << (power - 3), np.uint8)
     for r in column.coalesce(4).mapInArrow(run, "bits binary").toLocalIterator():
         out |= np.frombuffer(r.bits, np.uint8)
-    return out
+    return out, power
 
 
-def _bit(v: np.ndarray) -> np.ndarray:
-    return (W.mix(v.view(np.uint64).copy()) >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
+def _bit(v: np.ndarray, power: int) -> np.ndarray:
+    return (W.mix(v.view(np.uint64).copy()) >> np.uint64(64 - power)).astype(np.int64)
 
 
-def _in_filter(bits: np.ndarray, v: np.ndarray) -> np.ndarray:
-    at = _bit(v)
+def _in_filter(found: tuple[np.ndarray, int], v: np.ndarray) -> np.ndarray:
+    bits, power = found
+    at = _bit(v, power)
     return (bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1
 
 
@@ -203,50 +235,115 @@ def _linked(pairs: DataFrame, members: DataFrame, percent: int) -> DataFrame:
     return joined.select("a", "b", "ma", "mb").mapInArrow(run, "a bigint, b bigint")
 
 
-def may_link(na: np.ndarray, nb: np.ndarray, sa: np.ndarray, sb: np.ndarray, percent: int) -> np.ndarray:
-    """Whether sizes and signatures (rows of 8 uint64) leave room for the threshold."""
+def narrow(signatures: list[bytes]) -> np.ndarray:
+    """Signatures folded to the least width, as rows of uint64."""
+    return np.stack([fold(np.frombuffer(x, np.uint8), SIGNATURE_BITS // 8) for x in signatures]).view(np.uint64) if signatures else np.zeros((0, SIGNATURE_BITS // 64), np.uint64)
+
+
+def may_link(na: np.ndarray, nb: np.ndarray, sa: np.ndarray, sb: np.ndarray, percent: int, wide=None) -> np.ndarray:
+    """Whether sizes and signatures leave room for the threshold.
+
+    sa, sb: narrow() rows; wide(i): the pair's whole signatures, asked for only if the narrow ones leave room.
+    """
     small, large = np.minimum(na, nb), np.maximum(na, nb)
     ok = 100 * small >= percent * large
     at = np.flatnonzero(ok)
     if len(at):
-        apart = np.bitwise_count(sa[at] ^ sb[at]).sum(1).astype(np.int64)
-        both = (na[at] + nb[at] - apart) // 2
-        ok[at] = 100 * both >= percent * (na[at] + nb[at] - both)
+        room = lambda total, apart: 100 * ((total - apart) // 2) >= percent * (total - (total - apart) // 2)
+        ok[at] = room(na[at] + nb[at], np.bitwise_count(sa[at] ^ sb[at]).sum(1).astype(np.int64))
+        for i in np.flatnonzero(ok & (large > SIGNATURE_BITS)) if wide else ():
+            x, y = (np.frombuffer(v, np.uint8) for v in wide(i))
+            size = min(len(x), len(y))
+            ok[i] = room(int(na[i] + nb[i]), int(np.bitwise_count((fold(x, size) ^ fold(y, size)).view(np.uint64)).sum()))
     return ok
 
 
-def _star_pairs(nodes: DataFrame, percent: int) -> DataFrame:
-    """Each node with the first node of its groups by its first members, where the bounds allow a link."""
-    first = nodes.select("node", "n", "signature", F.explode(F.slice(F.col("prefix"), 1, STAR_MEMBERS)).alias("member"))
+def _star_pairs(nodes: DataFrame) -> DataFrame:
+    """Each node with the first node of its groups by its first members."""
+    first = nodes.select("node", F.explode(F.slice(F.col("prefix"), 1, STAR_MEMBERS)).alias("member"))
     leader = first.groupBy("member").agg(F.min("node").alias("a"), F.max("node").alias("z")).filter("a < z").select("member", "a")
-    met = first.select("member", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("signature").alias("sb")).join(leader, "member").filter("a <> b").drop("member").dropDuplicates(["a", "b"])
-    met = met.join(nodes.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("signature").alias("sa")), "a")
+    return first.join(leader, "member").select("a", F.col("node").alias("b")).filter("a <> b").distinct()
+
+
+def _bounded(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose sizes and whole signatures leave room for a link."""
+    side = lambda x: nodes.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("signature").alias(f"s{x}"))
 
     def run(batches):
         for b in batches:
-            sig = [np.frombuffer(b"".join(b[c].to_pylist()), np.uint64).reshape(-1, SIGNATURE_BITS // 64) for c in ("sa", "sb")]
-            yield b.select(["a", "b"]).filter(pa.array(may_link(b["na"].to_numpy(), b["nb"].to_numpy(), *sig, percent)))
+            sa, sb = b["sa"].to_pylist(), b["sb"].to_pylist()
+            yield b.select(["a", "b"]).filter(pa.array(may_link(b["na"].to_numpy(), b["nb"].to_numpy(), narrow(sa), narrow(sb), percent, lambda i: (sa[i], sb[i])), pa.bool_()))
 
+    met = pairs.join(side("a"), "a").join(side("b"), "b").filter(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)
     return met.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(run, "a bigint, b bigint")
 
 
+_PACKED = "bucket int, member binary, component binary"
+
+
+def _shared(nodes: DataFrame, buckets: int) -> DataFrame:
+    """(member, rows) of prefix members that nodes of two components or more have. Members travel as packed runs."""
+
+    def pack(batches):
+        held, size = [], 0
+
+        def flush():
+            m, c = (np.concatenate(x) for x in zip(*held))
+            order = np.argsort(m, kind="stable")
+            m, c = m[order], c[order]
+            ends = np.searchsorted((m >> np.uint64(40)) * np.uint64(buckets) >> np.uint64(24), np.arange(buckets + 1))
+            for i in np.flatnonzero(np.diff(ends)):
+                a, z = ends[i], ends[i + 1]
+                yield pa.RecordBatch.from_pydict({"bucket": pa.array([int(i)], pa.int32()), "member": [planes(m[a:z])], "component": [planes(c[a:z])]})
+
+        for b in batches:
+            lists = b["prefix"]
+            m = lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+            # the hashes of a prefix are the least of a set: spread them evenly over the buckets
+            held.append((W.mix(m.copy()), np.repeat(b["component"].to_numpy(), pc.list_value_length(lists).to_numpy(zero_copy_only=False))))
+            size += len(m)
+            if size >= PASS_MEMBERS:
+                yield from flush()
+                held, size = [], 0
+        if held:
+            yield from flush()
+
+    def meet(t: pa.Table) -> pa.Table:
+        m = np.concatenate([unplanes(x, np.uint64) for x in t["member"].to_pylist()])
+        c = np.concatenate([unplanes(x, np.int64) for x in t["component"].to_pylist()])
+        order = np.lexsort((c, m))
+        m, c = m[order], c[order]
+        new = np.concatenate([[True], m[1:] != m[:-1]])
+        start = np.flatnonzero(new)
+        end = np.concatenate([start[1:], [len(m)]])
+        some = c[start] != c[end - 1]
+        return pa.table({"mixed": m[start][some].view(np.int64), "rows": (end - start)[some].astype(np.int64)})
+
+    return nodes.select("prefix", "component").mapInArrow(pack, _PACKED).groupBy("bucket").applyInArrow(meet, "mixed bigint, rows bigint")
+
+
 def _meetings(nodes: DataFrame, percent: int) -> DataFrame:
-    """Rows (tile, side, node, component, n, signature): nodes of two classes or more that share a prefix member, by size band."""
+    """Rows (tile, guest, node, component, n, signature) of nodes that share enough prefix members with other components, by member and size band."""
     spark = nodes.sparkSession
-    post = nodes.select("node", "component", "n", "signature", F.explode("prefix").alias("member"))
-    shared = stored(post.groupBy("member").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("rows")).filter("lo <> hi").select("member", "rows"), "shared")
-    bits = spark.sparkContext.broadcast(_filter_of(shared.select("member")))
+    total = nodes.agg(F.sum(F.size("prefix"))).first()[0] or 0
+    shared = stored(_shared(nodes, int(max(4, total // BUCKET_MEMBERS + 1))), "shared")
+    bits = spark.sparkContext.broadcast(_filter_of(shared.select("mixed")))
 
     def keep(batches):
         for b in batches:
-            lists = b["prefix"]
-            flat = lists.flatten().to_numpy(zero_copy_only=False)
-            of = np.repeat(np.arange(len(lists)), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+            lists, n = b["prefix"], b["n"].to_numpy()
+            flat = W.mix(lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64).copy()).view(np.int64)
+            sizes = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
+            of = np.repeat(np.arange(len(lists)), sizes)
             ok = _in_filter(bits.value, flat) if len(flat) else np.zeros(0, bool)
-            rows = b.select(["node", "component", "n", "signature"]).take(pa.array(of[ok]))
-            yield rows.append_column("member", pa.array(flat[ok], pa.int64()))
-
-    rows = nodes.select("node", "component", "n", "signature", "prefix").mapInArrow(keep, "node bigint, component bigint, n bigint, signature binary, member bigint").join(shared, "member")
+            enough = np.bincount(of[ok], minlength=len(lists)) >= needed(n, percent)
+            place = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            ok &= enough[of] & (place < first_length(n, percent)[of])
+            rows = b.select(["node", "component", "n"]).take(pa.array(of[ok]))
+            sig = narrow(b["signature"].to_pylist())
+            yield rows.append_column("signature", pa.array([x.tobytes() for x in sig[of[ok]]], pa.binary())).append_column("mixed", pa.array(flat[ok], pa.int64()))
+
+    rows = nodes.select("node", "component", "n", "signature", "prefix").mapInArrow(keep, "node bigint, component bigint, n bigint, signature binary, mixed bigint").join(shared, "mixed").withColumnRenamed("mixed", "member")
     # a set of size n is in band b with base^b <= n < base^(b+1), base = 100 / percent; partners are in the same band or the next
     band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent)) + 1e-9).cast("int")
     rows = rows.withColumn("band", band).withColumn("blocks", F.ceil(F.col("rows") / TILE).cast("int"))
@@ -304,8 +401,7 @@ def _tile_pairs(meetings: DataFrame, percent: int) -> DataFrame:
             yield solve(pa.Table.from_batches(held).combine_chunks())
 
     def solve(t: pa.Table) -> pa.RecordBatch:
-        sig = np.frombuffer(b"".join(t["signature"].to_pylist()), np.uint64).reshape(-1, SIGNATURE_BITS // 64)
-        a, b = pairs(t["tile"].to_numpy(), t["component"].to_numpy(), t["guest"].to_numpy(), t["node"].to_numpy(), t["n"].to_numpy(), sig)
+        a, b = pairs(t["tile"].to_numpy(), t["component"].to_numpy(), t["guest"].to_numpy(), t["node"].to_numpy(), t["n"].to_numpy(), narrow(t["signature"].to_pylist()))
         return pa.RecordBatch.from_pydict({"a": a, "b": b})
 
     cols = ["tile", "guest", "node", "component", "n", "signature"]
@@ -323,15 +419,16 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int
     nodes = nodes.select("key", "key2", "doc_id", "n", "x.signature", "x.prefix", F.monotonically_increasing_id().alias("node")).mapInArrow(_unpack, f"{_KEY}, doc_id {docs.schema['doc_id'].dataType.simpleString()}, n bigint, signature binary, node bigint, prefix array<bigint>")
     nodes = stored(nodes, "nodes")
 
-    star = stored(_star_pairs(nodes, percent), "star")
+    star = stored(_bounded(_star_pairs(nodes), nodes, percent), "star")
     members = _members_of(docs, star.select(F.col("a").alias("node")).union(star.select("b")), nodes, k)
     links = stored(_linked(star, members, percent), "links")
     labels = components(links)
     marked = nodes.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
 
     small_batches(spark, 8192)
-    more = stored(_tile_pairs(_meetings(marked, percent), percent), "pairs")
+    more = stored(_tile_pairs(_meetings(marked, percent), percent), "meetings")
     small_batches(spark)
+    more = stored(_bounded(more, nodes, percent), "pairs")
     if not more.isEmpty():
         members = _members_of(docs, more.select(F.col("a").alias("node")).union(more.select("b")), nodes, k)
         links = links.union(_linked(more, members, percent))
