@@ -86,3 +86,12 @@ def test_vcf_header_rules(lines):
     for bad in ([row], [head, row, head], [row, head], [head, row + "|x"], ["##INFO=<ID=FA_x>", head, row]):
         with pytest.raises(ValueError):
             readers.vcf_headers(lines(*bad))
+
+
+def test_strict_variants(lines):
+    v = readers.parse_strict_avinput(lines("chrM|10|10|a|c|x y|", "1|20|20|-|TG||z", "X|5|9|0|-|a|b")).orderBy("row_id").collect()
+    assert [(r.chrom, r.start, r.end, r.ref, r.alt, r.extra) for r in v] == [("MT", 9, 10, "A", "C", ["x y", ""]), ("1", 20, 20, "", "TG", ["", "z"]), ("X", 4, 9, "0", "", ["a", "b"])]
+    assert v[0].original == ["chrM", "10", "10", "a", "c"]
+    for bad in ("1|1|1|A", "1|5|4|A|C", "1|1|2|A|C", "1|1|2|-|C", "1|1|1|-|-", "1|1|1|<X>|C", "1|12A|12|A|C", "1|0|0|A|C", "1|1|1|A|C|extra"):
+        with pytest.raises(Exception, match="input line 2"):
+            readers.parse_strict_avinput(lines("1|1|1|A|C", bad)).collect()
