@@ -5,7 +5,7 @@ few members of each in any common order (rare members first here), so nodes meet
 tiles: only sets of compatible sizes share a tile, and bitmap signatures bound their overlap from above, because each bit of the
 xor of two signatures stands for at least one member that they don't share. Larger sets have wider signatures; a wide one folds to a narrow one. What passes is intersected exactly on sorted arrays.
 
-Near copies are linked to the first of their group before that, and tiles then compare only nodes that are not in one class yet; so groups
+Near copies are linked to two nodes of their group before that, and tiles then compare only nodes that are not in one class yet; so groups
 of copies cost in proportion to their size. No pair is left out but those that the bounds exclude or that are in one class already.
 
 Words are runs of bytes outside \\x20 and \\x09-\\x0D, A-Z lower-cased. Texts with fewer words than a shingle have their whole sequence as one;
@@ -30,7 +30,7 @@ from genoloom.llm.packing import planes, unplanes
 
 #: Members whose share of the documents of a pass reaches this are ordered last; at most so many, the most frequent ones.
 HOT_SHARE, HOT_MEMBERS = 0.001, 1 << 17
-#: First members by which near copies meet their group's first node.
+#: Members of least hash by which near copies meet two nodes of their group.
 STAR_MEMBERS = 4
 #: Nodes of one tile; larger meetings are cut into blocks, each pair of blocks a tile.
 TILE = 2048
@@ -179,7 +179,7 @@ def _key(members: np.ndarray) -> tuple[int, int]:
 
 
 def _sets(docs: DataFrame, k: int, percent: int, hot) -> DataFrame:
-    """Per row: doc_id, n, key, key2, signature and prefix."""
+    """Per row: doc_id, n, key, key2, signature, prefix, star (the members of least hash) and n_hot, the number of hot members."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
@@ -188,11 +188,11 @@ def _sets(docs: DataFrame, k: int, percent: int, hot) -> DataFrame:
             sets = shingles(b["text"], k)
             keys = [_key(s) for s in sets]
             yield pa.RecordBatch.from_arrays(
-                [b["doc_id"], pa.array([len(s) for s in sets], pa.int64()), pa.array([x[0] for x in keys], pa.int64()), pa.array([x[1] for x in keys], pa.int64()), pa.array([signature(s) for s in sets], pa.binary()), pa.array([prefix(s, h, rank, percent).tobytes() if len(s) else b"" for s in sets], pa.binary())],
-                names=["doc_id", "n", "key", "key2", "signature", "prefix"],
+                [b["doc_id"], pa.array([len(s) for s in sets], pa.int64()), pa.array([x[0] for x in keys], pa.int64()), pa.array([x[1] for x in keys], pa.int64()), pa.array([signature(s) for s in sets], pa.binary()), pa.array([prefix(s, h, rank, percent).tobytes() if len(s) else b"" for s in sets], pa.binary()), pa.array([s[:STAR_MEMBERS].tobytes() for s in sets], pa.binary()), pa.array([int(np.isin(s, h, assume_unique=True).sum()) if len(h) else 0 for s in sets], pa.int64())],
+                names=["doc_id", "n", "key", "key2", "signature", "prefix", "star", "n_hot"],
             )
 
-    return docs.mapInArrow(run, f"doc_id {kind}, n bigint, {_KEY}, signature binary, prefix binary")
+    return docs.mapInArrow(run, f"doc_id {kind}, n bigint, {_KEY}, signature binary, prefix binary, star binary, n_hot bigint")
 
 
 def _members_of(docs: DataFrame, wanted: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
@@ -259,10 +259,17 @@ def may_link(na: np.ndarray, nb: np.ndarray, sa: np.ndarray, sb: np.ndarray, per
 
 
 def _star_pairs(nodes: DataFrame) -> DataFrame:
-    """Each node with the first node of its groups by its first members."""
-    first = nodes.select("node", F.explode(F.slice(F.col("prefix"), 1, STAR_MEMBERS)).alias("member"))
-    leader = first.groupBy("member").agg(F.min("node").alias("a"), F.max("node").alias("z")).filter("a < z").select("member", "a")
-    return first.join(leader, "member").select("a", F.col("node").alias("b")).filter("a <> b").distinct()
+    """Each node with two nodes of its groups by its members of least hash and its size, within a twentieth.
+
+    The first is the one with the most hot members: of near copies, the least edited, which is close to all of them. The other is the last.
+    Members of a passage that many documents hold lead those of one size to each other, not all to one.
+    """
+    size = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(1.05))).alias("size")
+    first = nodes.select("node", "n_hot", size, F.explode("star").alias("member"))
+    ends = first.groupBy("member", "size").agg(F.max(F.struct("n_hot", (-F.col("node")).alias("m"))).alias("a"), F.max("node").alias("z"), F.min("node").alias("low"))
+    ends = ends.filter("low < z").select("member", "size", (-F.col("a.m")).alias("a"), "z")
+    met = first.join(ends, ["member", "size"]).select("node", F.explode(F.array("a", "z")).alias("end")).filter("node <> end")
+    return met.select(F.least("node", "end").alias("a"), F.greatest("node", "end").alias("b")).distinct()
 
 
 def _bounded(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
@@ -415,8 +422,8 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     hot = spark.sparkContext.broadcast(_hot_members(docs, k))
     sets = stored(_sets(docs, k, percent, hot), "sets")
-    nodes = sets.filter("n > 0").groupBy("key", "key2").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first(F.struct("signature", "prefix")).alias("x"))
-    nodes = nodes.select("key", "key2", "doc_id", "n", "x.signature", "x.prefix", F.monotonically_increasing_id().alias("node")).mapInArrow(_unpack, f"{_KEY}, doc_id {docs.schema['doc_id'].dataType.simpleString()}, n bigint, signature binary, node bigint, prefix array<bigint>")
+    nodes = sets.filter("n > 0").groupBy("key", "key2").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first(F.struct("signature", "prefix", "star", "n_hot")).alias("x"))
+    nodes = nodes.select("key", "key2", "doc_id", "n", "x.signature", "x.prefix", "x.star", "x.n_hot", F.monotonically_increasing_id().alias("node")).mapInArrow(_unpack, f"{_KEY}, doc_id {docs.schema['doc_id'].dataType.simpleString()}, n bigint, signature binary, node bigint, prefix array<bigint>, star array<bigint>, n_hot bigint")
     nodes = stored(nodes, "nodes")
 
     star = stored(_bounded(_star_pairs(nodes), nodes, percent), "star")
@@ -442,11 +449,13 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int
 
 
 def _unpack(batches):
+    def lists(column: pa.Array) -> pa.Array:
+        parts = [np.frombuffer(p.as_buffer(), np.int64) for p in column]
+        ends = np.concatenate([[0], np.cumsum([len(x) for x in parts])]).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int64), *parts])))
+
     for b in batches:
-        lists = [np.frombuffer(p.as_buffer(), np.int64) for p in b["prefix"]]
-        ends = np.concatenate([[0], np.cumsum([len(x) for x in lists])]).astype(np.int32)
-        prefix = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int64), *lists])))
-        yield pa.RecordBatch.from_arrays([b["key"], b["key2"], b["doc_id"], b["n"], b["signature"], b["node"], prefix], names=["key", "key2", "doc_id", "n", "signature", "node", "prefix"])
+        yield pa.RecordBatch.from_arrays([b["key"], b["key2"], b["doc_id"], b["n"], b["signature"], b["node"], lists(b["prefix"]), lists(b["star"]), b["n_hot"]], names=["key", "key2", "doc_id", "n", "signature", "node", "prefix", "star", "n_hot"])
 
 
 def keep_first(docs: DataFrame, **options) -> DataFrame:
