@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from genoloom.llm import bpe, decontam, jaccard, quality, rules, secrets, sharding, sufdedup, token_counts, warc
+from genoloom.llm import bpe, decontam, jaccard, oracles, quality, rules, secrets, sharding, sufdedup, token_counts, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scan": secrets.op1_secret_scan,
@@ -23,7 +23,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "pipeline": corpus_pipeline.run,
 }
 
-ORACLES: dict[str, str] = {} if corpus_pipeline.ORACLE_SQL is None else {"pipeline": corpus_pipeline.ORACLE_SQL}
+ORACLES: dict[str, str] = {**oracles.ORACLES, **({} if corpus_pipeline.ORACLE_SQL is None else {"pipeline": corpus_pipeline.ORACLE_SQL})}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
