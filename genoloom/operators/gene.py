@@ -163,8 +163,8 @@ COLUMNS = ("func", "gene", "detail", "exonic", "change")
 def gene_join(variants: DataFrame, transcripts: DataFrame, prefix: str = "g", splice: int = SPLICE, flank: int = FLANK, shift: int | None = None) -> DataFrame:
     """variants with <prefix>_func, _gene, _detail, _exonic and _change. transcripts: from prepare().
 
-    The best hits, one narrow row a variant, are written to the shared folder: the variants without one are asked for their neighbours, and the range
-    join must not run twice.
+    The best hits, one narrow row a variant, are written to the shared folder, because variants without one are asked for their neighbours
+    and hits() would otherwise be planned once more. Inside hits() the range join is planned for each of its two branches.
     """
     best = stored(reduce_hits(hits(variants, transcripts, splice, flank, shift), splice), "gene")
     some = variants.join(best.withColumnRenamed("row_id", "__row"), F.col("row_id") == F.col("__row"), "left").drop("__row")
