@@ -357,13 +357,14 @@ def _meetings(nodes: DataFrame, percent: int) -> DataFrame:
     rows = rows.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     sides = F.explode(F.array(F.struct(F.col("band").alias("band"), F.lit(0).alias("guest")), F.struct((F.col("band") + 1).alias("band"), F.lit(1).alias("guest"))))
     rows = rows.select("member", "node", "component", "n", "signature", "block", "blocks", sides.alias("s"))
-    # home rows meet home rows of all blocks, and guests of all blocks: tile (x, y) holds homes of block x and rows of block y
+    # home rows meet home rows of all blocks, and guests of all blocks: tile (x, y) with x <= y holds homes of both blocks and guests of block y,
+    # tile (x, y) with x > y the homes of block x once more, marked 2, and guests of block y
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     rows = rows.select("member", "node", "component", "n", "signature", "block", F.col("s.band").alias("band"), F.col("s.guest").alias("guest"), other.alias("other"))
     x = F.when(F.col("guest") == 1, F.col("other")).otherwise(F.least("block", "other"))
     y = F.when(F.col("guest") == 1, F.col("block")).otherwise(F.greatest("block", "other"))
     rows = rows.withColumn("x", x).withColumn("y", y)
-    home_again = rows.filter("guest = 0 and block <> other").withColumn("x2", F.col("y")).withColumn("y", F.col("x")).withColumn("x", F.col("x2")).drop("x2").withColumn("guest", F.lit(2))
+    home_again = rows.filter("guest = 0 and block > other").withColumn("x2", F.col("y")).withColumn("y", F.col("x")).withColumn("x", F.col("x2")).drop("x2").withColumn("guest", F.lit(2))
     rows = rows.unionByName(home_again)
     return rows.select(F.xxhash64("member", "band", "x", "y").alias("tile"), "member", "band", "guest", "node", "component", "n", "signature")
 
@@ -381,7 +382,8 @@ def _tile_pairs(meetings: DataFrame, percent: int) -> DataFrame:
             if not len(rows):
                 break
             i, j = rows, rows + d
-            use = (comp[i] != comp[j]) & ((guest[i] == 0) | (guest[j] == 0)) & (guest[i] + guest[j] < 2)
+            # home and home, home and guest, repeated home and guest; guests meet each other in their own band
+            use = (comp[i] != comp[j]) & (((guest[i] + guest[j]) & 1 == 1) | ((guest[i] == 0) & (guest[j] == 0)))
             i, j = i[use], j[use]
             for s in range(0, len(i), 1 << 16):
                 u, v = i[s : s + (1 << 16)], j[s : s + (1 << 16)]

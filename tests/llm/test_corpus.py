@@ -158,6 +158,20 @@ def test_similarity_classes_equal_brute_force(spark, docs, none, k, percent, mon
         assert sorted(r.doc_id for r in kept) == sorted({c for _, c in want.values()})
 
 
+def test_links_across_bands_and_blocks(spark, monkeypatch):
+    """Isolated pairs of 9 and 10 members, on either side of a band edge, whose members are all in groups of many blocks."""
+    monkeypatch.setattr(jaccard, "TILE", 2)
+    rnd = random.Random(3)
+    rows = []
+    for i in range(60):
+        w = rnd.sample([f"w{j}" for j in range(26)], 10)
+        rows += [(2 * i, " ".join(w[:9])), (2 * i + 1, " ".join(w))]
+    got = jaccard.join(spark.createDataFrame(rows, "doc_id long, text string"), k=1, percent=80).collect()
+    want = classes(rows, 1, 80)
+    assert sum(want[i][1] != i for i in range(120)) == 60  # the pairs and no other links
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == want
+
+
 def test_signatures_bound_the_overlap():
     rnd = np.random.default_rng(5)
     for n in (5, 300, 900, 5000):
