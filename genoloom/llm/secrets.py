@@ -1,8 +1,9 @@
 """Operator 1: secret scans by dictionary-primed zstandard novelty.
 
-A candidate is a long run of key characters close behind a sensitive term. Its novelty is the number of bytes that it
-adds to a zstandard stream primed with an identifier dictionary and the text around it. Strings that stay
-incompressible there are reported as kind ``novel``, beside the three fixed patterns ``assign``, ``access`` and ``hex``.
+A candidate is a long run of key characters around a sensitive term, before or behind it and on any line. Its novelty is the number of
+bytes that it adds to a zstandard stream primed with an identifier dictionary and the text around it.
+Strings that stay incompressible there are reported as kind ``novel``, beside the three fixed patterns ``assign``, ``access`` and ``hex``. Candidates have at least
+min_length characters, of them a letter and a digit; shorter last lines of wrapped keys stay.
 
 Nulls and empty texts have no spans. Offsets are code points, end exclusive. Repeated rows give repeated results; an empty
 table gives an empty result; columns other than the two named ones are ignored.
@@ -11,6 +12,7 @@ table gives an empty result; columns other than the two named ones are ignored.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from functools import lru_cache
 
 import zstandard
@@ -26,13 +28,17 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")  # the same spans as runs of one or more, of which the short ones are dropped
 ASSIGN_WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 
-#: Terms that make the text behind them a sensitive context.
+#: Terms that make the text around them a sensitive context.
 SENSITIVE = re.compile(r"passw|passphrase|pwd|secret|token|api[ _-]?key|credential|bearer|authorization|private[ _-]?key|access[ _-]?key|signing[ _-]?key|auth[ _-]?key", re.I | re.A)
 SENSITIVE_STEMS = ("pass", "pwd", "secret", "token", "key", "credential", "bearer", "authorization")
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]+")
 
-#: Code points of context in front of a candidate that may hold the sensitive term, and on either side that prime the compressor.
-TERM_REACH, SURROUNDING = 48, 512
+#: A value in a run of key characters: = only ends it.
+VALUE = re.compile(r"[^=]+=*")
+#: Code points of context on either side of a candidate that may hold the sensitive term and that prime the compressor.
+SURROUNDING = 512
+#: Code points between the lines of a wrapped key.
+WRAP = 16
 
 #: Words of the identifier dictionary.
 IDENTIFIERS = """
@@ -70,29 +76,67 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return sorted(found, key=lambda s: (s[0], KINDS.index(s[2])))
 
 
+def _measure(text: str, start: int, end: int, min_length: int, min_ratio: float) -> int | None:
+    """The novelty of text[start:end] if it is a novel candidate."""
+    s = text[start:end]
+    if len(s) < min_length or not re.search(r"[0-9]", s) or not re.search(r"[A-Za-z]", s):
+        return None
+    n = novelty(s, text[max(0, start - SURROUNDING) : start], text[end : end + SURROUNDING])
+    return n if n >= min_ratio * len(s) else None
+
+
+def _novel_parts(text: str, start: int, end: int, min_length: int, min_ratio: float) -> list[tuple[int, int, int]]:
+    """Novel strings of a run of key characters: its values between inner =, or else the run, or else what stands between terms in it."""
+    whole = text[start:end]
+    values = [(start + m.start(), start + m.end()) for m in VALUE.finditer(whole)]
+    cuts = [start, *(start + m.end() for m in SENSITIVE.finditer(whole)), end]
+    for tries in (values, [(start, end)], list(zip(cuts, cuts[1:])) if len(cuts) > 2 else []):
+        found = [(a, b, n) for a, b in tries if (n := _measure(text, a, b, min_length, min_ratio)) is not None]
+        if found:
+            return found
+    return []
+
+
+def _outside(spans: list[tuple[int, int, str]]):
+    """Whether a span has no character in common with the given ones, which are in order of their starts."""
+    starts, ends = [], []
+    for a, b, _ in spans:
+        if starts and a <= ends[-1]:
+            ends[-1] = max(ends[-1], b)
+        else:
+            starts.append(a)
+            ends.append(b)
+    return lambda a, b: not (i := bisect_left(starts, b)) or ends[i - 1] <= a
+
+
 def novel_spans(text: str, taken: list[tuple[int, int, str]], min_length: int, min_ratio: float) -> list[tuple[int, int, str, int]]:
-    """Incompressible strings behind a sensitive term, outside the taken spans: start, end, kind, novelty in bytes."""
-    found, reached = [], 0
+    """Incompressible strings around a sensitive term, outside the taken spans: start, end, kind, novelty in bytes.
+
+    A run of key characters is measured if a term is at most SURROUNDING code points in front of it or behind it, on any line, or if
+    nothing but other than letters and digits, at most WRAP of them, separates it from a run that was found: the lines of a wrapped key.
+    """
     low = text.lower()
     if not any(w in low for w in SENSITIVE_STEMS):
-        return found
-    for term in SENSITIVE.finditer(text):
-        end = term.end() + TERM_REACH
-        line_end = text.find("\n", term.end())
-        if line_end >= 0:
-            end = min(end, line_end)
-        at = max(term.end(), reached)
-        while at < end and (m := CANDIDATE.search(text, at)) and m.start() < end:
-            at = reached = m.end()
-            s = m[0]
-            if len(s) < min_length or s.isalpha() or not re.search(r"[0-9]", s) or not re.search(r"[A-Za-z]", s):
-                continue
-            if any(a < m.end() and m.start() < b for a, b, _ in taken):
-                continue
-            n = novelty(s, text[max(0, m.start() - SURROUNDING) : m.start()], text[m.end() : m.end() + SURROUNDING])
-            if n >= min_ratio * len(s):
-                found.append((m.start(), m.end(), "novel", n))
-    return found
+        return []
+    terms = [m.span() for m in SENSITIVE.finditer(text)]
+    if not terms:
+        return []
+    free = _outside(taken)
+    runs = [m.span() for m in CANDIDATE.finditer(text) if m.end() - m.start() >= min_length]
+    got: list[list | None] = [None] * len(runs)
+    t = 0
+    measure = lambda i: _novel_parts(text, *runs[i], min_length, min_ratio) if free(*runs[i]) else []
+    joined = lambda i: runs[i + 1][0] - runs[i][1] <= WRAP and not any(map(str.isalnum, text[runs[i][1] : runs[i + 1][0]]))
+    for i, (a, b) in enumerate(runs):
+        while t < len(terms) and terms[t][1] + SURROUNDING < a:
+            t += 1
+        if t < len(terms) and terms[t][0] <= b + SURROUNDING or i and got[i - 1] and joined(i - 1):
+            got[i] = measure(i)
+    for i in range(len(runs) - 2, -1, -1):
+        if got[i] is None and got[i + 1] and joined(i):
+            got[i] = measure(i)
+
+    return [(a, b, "novel", n) for g in got if g for a, b, n in g]
 
 
 def scan(text: str | None, min_length: int = 16, min_ratio: float = 0.75) -> list[dict]:

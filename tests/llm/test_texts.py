@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import string
 import struct
 import zlib
 from collections import Counter
@@ -53,6 +54,27 @@ def test_known_text_is_not_novel():
     assert secrets.novelty("your_token_here", "", "") < 10 and secrets.novelty(s, f"seen {s} ", "") < 10 < 20 < secrets.novelty(s, "", "")
 
 
+def _key(rnd, alphabet, n):
+    return "A7" + "".join(rnd.choices(alphabet, k=n - 2))
+
+
+def _unmasked(text, secret):
+    return [i for i in range(len(text)) if text.startswith(secret, i) and not any(s["start"] <= i and i + len(secret) <= s["end"] for s in secrets.scan(text))]
+
+
+def test_secrets_around_terms_on_any_line():
+    rnd = random.Random(4)
+    b64 = string.ascii_letters + string.digits + "+/"
+    s, filler = _key(rnd, b64, 40), "a line of the story that goes on. " * 9
+    for text in (f"password:\n  {s}\n", f"the token is as follows {filler}{s}", f"{s}\nis the private key", f"bearer 'access_key2={s}' here"):
+        assert not _unmasked(text, s) and s not in secrets.mask(text), text
+    body = [_key(rnd, b64, 64) for _ in range(60)]  # the middle lines are far from both terms
+    pem = "\n".join(["-----BEGIN PRIVATE KEY-----", *body, "-----END PRIVATE KEY-----"])
+    for text in (pem, pem[27:], pem[:-25]):
+        assert not any(line in secrets.mask(text) for line in body)
+    assert secrets.scan(f"a story {filler * 2}{s}") == []
+
+
 # 6
 
 
