@@ -1,8 +1,9 @@
 """Operator 1: secret scans by dictionary-primed zstandard novelty.
 
 A candidate is a long run of key characters around a sensitive term, before or behind it and on any line. Its novelty is the number of
-bytes that it adds to a zstandard stream primed with an identifier dictionary and the text around it.
-Strings that stay incompressible there are reported as kind ``novel``, beside the three fixed patterns ``assign``, ``access`` and ``hex``. Candidates have at least
+bytes that it adds to a zstandard stream primed with an identifier dictionary and the text around it, without other copies of the candidate.
+Strings that stay incompressible there, measured against min_ratio or the entropy bound of their alphabet, whichever is less, are
+reported as kind ``novel`` wherever the text has them, beside the three fixed patterns ``assign``, ``access`` and ``hex``. Candidates have at least
 min_length characters, of them a letter and a digit; shorter last lines of wrapped keys stay.
 
 Nulls and empty texts have no spans. Offsets are code points, end exclusive. Repeated rows give repeated results; an empty
@@ -14,6 +15,7 @@ from __future__ import annotations
 import re
 from bisect import bisect_left
 from functools import lru_cache
+from math import log2
 
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
@@ -39,6 +41,12 @@ VALUE = re.compile(r"[^=]+=*")
 SURROUNDING = 512
 #: Code points between the lines of a wrapped key.
 WRAP = 16
+#: Share of entropy_bound() that a novel string reaches: zstandard finds a few short matches in random strings by chance.
+BOUND_SHARE = 0.95
+
+LOWER_HEX, UPPER_HEX = frozenset("0123456789abcdef"), frozenset("0123456789ABCDEF")
+CLASSES = (frozenset("0123456789"), frozenset("abcdefghijklmnopqrstuvwxyz"), frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZ"))
+ALNUM = frozenset().union(*CLASSES)
 
 #: Words of the identifier dictionary.
 IDENTIFIERS = """
@@ -76,13 +84,28 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return sorted(found, key=lambda s: (s[0], KINDS.index(s[2])))
 
 
+def entropy_bound(candidate: str) -> float:
+    """Bytes a character that no entropy code saves on random strings of the candidate's alphabet: 0.5 for hex of one case, 0.74 or more for base64."""
+    found = set(candidate)
+    if found <= UPPER_HEX or found <= LOWER_HEX:
+        size = 16
+    elif found <= UPPER_HEX | LOWER_HEX:
+        size = 22
+    else:
+        size = sum(len(c) for c in CLASSES if found & c) + len(found - ALNUM)
+    return log2(max(size, 1)) / 8
+
+
 def _measure(text: str, start: int, end: int, min_length: int, min_ratio: float) -> int | None:
-    """The novelty of text[start:end] if it is a novel candidate."""
+    """The novelty of text[start:end] if it is a novel candidate. Other occurrences of it in the surrounding text do not prime the compressor."""
     s = text[start:end]
     if len(s) < min_length or not re.search(r"[0-9]", s) or not re.search(r"[A-Za-z]", s):
         return None
-    n = novelty(s, text[max(0, start - SURROUNDING) : start], text[end : end + SURROUNDING])
-    return n if n >= min_ratio * len(s) else None
+    blank, reach = " " * len(s), SURROUNDING + len(s)
+    before = text[max(0, start - reach) : start].replace(s, blank)[-SURROUNDING:]
+    after = text[end : end + reach].replace(s, blank)[:SURROUNDING]
+    n = novelty(s, before, after)
+    return n if n >= min(min_ratio, BOUND_SHARE * entropy_bound(s)) * len(s) else None
 
 
 def _novel_parts(text: str, start: int, end: int, min_length: int, min_ratio: float) -> list[tuple[int, int, int]]:
@@ -110,7 +133,7 @@ def _outside(spans: list[tuple[int, int, str]]):
 
 
 def novel_spans(text: str, taken: list[tuple[int, int, str]], min_length: int, min_ratio: float) -> list[tuple[int, int, str, int]]:
-    """Incompressible strings around a sensitive term, outside the taken spans: start, end, kind, novelty in bytes.
+    """Incompressible strings around a sensitive term, outside the taken spans, and all their occurrences in the text: start, end, kind, novelty in bytes.
 
     A run of key characters is measured if a term is at most SURROUNDING code points in front of it or behind it, on any line, or if
     nothing but other than letters and digits, at most WRAP of them, separates it from a run that was found: the lines of a wrapped key.
@@ -136,7 +159,24 @@ def novel_spans(text: str, taken: list[tuple[int, int, str]], min_length: int, m
         if got[i] is None and got[i + 1] and joined(i):
             got[i] = measure(i)
 
-    return [(a, b, "novel", n) for g in got if g for a, b, n in g]
+    values: dict[str, dict[str, int]] = {}
+    for a, b, n in (x for g in got if g for x in g):
+        values.setdefault(text[a : a + min_length], {}).setdefault(text[a:b], n)
+    if not values:
+        return []
+    found = []
+    for (a, b), mine in zip(runs, got):
+        spans = list(mine or ())
+        for at in range(a, b - min_length + 1):
+            for v, n in values.get(text[at : at + min_length], {}).items():
+                if text.startswith(v, at) and at + len(v) <= b and free(at, at + len(v)):
+                    spans.append((at, at + len(v), n))
+        last = a
+        for x, y, n in sorted(spans, key=lambda s: (s[0], -s[1])):
+            if y > last:  # not inside one that is there
+                found.append((x, y, "novel", n))
+                last = y
+    return found
 
 
 def scan(text: str | None, min_length: int = 16, min_ratio: float = 0.75) -> list[dict]:

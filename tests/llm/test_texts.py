@@ -75,6 +75,22 @@ def test_secrets_around_terms_on_any_line():
     assert secrets.scan(f"a story {filler * 2}{s}") == []
 
 
+def test_repeated_secrets_are_found():
+    rnd = random.Random(5)
+    s = _key(rnd, string.ascii_letters + string.digits, 40)
+    for text in (f"bearer {s}\nbearer {s}\n", f"bearer {s} " + "some other words " * 100 + s, f"key1={s} and bearer key2={s}", f"credential {s} at x/{s}/y " * 3):
+        assert text.count(s) > 1 and not _unmasked(text, s) and s not in secrets.mask(text), text
+
+
+@pytest.mark.parametrize("alphabet", ["0123456789ABCDEF", "0123456789abcdefABCDEF", string.ascii_lowercase + string.digits, string.ascii_letters + string.digits])
+def test_secrets_of_small_alphabets(alphabet):
+    rnd = random.Random(6)
+    for n in (40, 80, 96, 512):
+        texts = [(k, f"its private key follows: {k} as told") for k in ("".join(rnd.choices(alphabet, k=n)) for _ in range(20))]
+        assert sum(not _unmasked(t, k) for k, t in texts) >= 19, n
+    assert secrets.scan("its private key is at xyzxyz1xyzxyz1xyzxyz1xyzxyz1xyzxyz1xyzxyz1") == []
+
+
 # 6
 
 
