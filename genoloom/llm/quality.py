@@ -44,7 +44,7 @@ def statistics(text: str | None) -> list[float]:
     lines = [x for x in text.split("\n") if x]
     lengths = Counter(map(len, words))
     chars = sum(k * v for k, v in lengths.items())
-    adjacent = sum(map(bytes.__eq__, words, words[1:])) if 2 * len(counts) < 1.6 * n or n < 40 else 0
+    adjacent = sum(map(bytes.__eq__, words, words[1:]))
     upper = title = 0
     for w, c in counts.items():
         if w.isupper():

@@ -52,6 +52,14 @@ def test_quality(spark, docs, none):
     assert all(abs(again[r.doc_id] - r.score) < 1e-9 for r in got)  # held-out labels teach nothing
 
 
+@pytest.mark.parametrize("n", [30, 39, 40, 400])
+def test_repeated_neighbours_count_in_every_text(n):
+    words = [f"w{i}" for i in range(n)]
+    words[1::10] = words[::10]  # nine in ten words are distinct
+    got = quality.statistics(" ".join(words))[quality.STATS.index("adjacent_repeats")]
+    assert got == sum(a == b for a, b in zip(words, words[1:])) / n > 0.09
+
+
 def test_isotonic_and_kernel():
     rnd = np.random.default_rng(1)
     x, n, s = np.arange(50.0), rnd.integers(1, 5, 50).astype(float), rnd.random(50)
