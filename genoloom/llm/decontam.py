@@ -5,8 +5,10 @@ of all masked windows of the benchmark are joined with those of the training tex
 and compared word by word. An alignment counts if some window of ``window`` aligned words (the whole item if it is shorter) agrees in
 at least ``share`` of its words.
 
-Words are runs of letters, digits and non-ASCII characters, lower-cased. Items of fewer words than the narrowest mask are too short to be
-evidence and are never found; nulls and empty texts on either side match nothing. Ties go to the earliest place. Repeated rows
+Items of five to seven words also have masks that ignore one of their words, and shorter ones are looked up as phrases, so items of all lengths are
+found with as many substitutions as ``share`` of the default leaves.
+
+Words are runs of letters, digits and non-ASCII characters, lower-cased. Nulls and empty texts on either side match nothing. Ties go to the earliest place. Repeated rows
 of one doc_id give one row per item. Empty tables give an empty result; other columns are ignored.
 """
 
@@ -24,6 +26,8 @@ from genoloom.llm.common import small_batches, stored, table
 
 #: Places of a window that each mask looks at.
 MASKS = ((0, 1, 2, 3, 4), (0, 1, 3, 5, 6), (0, 2, 3, 6, 7), (0, 1, 4, 6, 8))
+#: By the words of a short item, the places that its masks look at: all below five words, all but one from there on.
+SHORT_MASKS = {n: [tuple(range(n))] if n < 5 else [tuple(p for p in range(n) if p != left_out) for left_out in range(n)] for n in range(1, 8)}
 #: Bits of the filter of benchmark hashes: 256 a hash within these powers of two. Beyond, it lets more through, and nothing is lost.
 FILTER_BITS = (16, 24)
 #: Places in the filter that each hash sets and needs.
@@ -40,12 +44,15 @@ def _words(texts: pa.Array) -> tuple[W.Words, np.ndarray]:
     return W.words(data, offsets, IS_WORD, W.byte_values(True, 11)), offsets
 
 
-def _seeds(w: W.Words):
-    """(mask, word index, hash) of all masked windows."""
-    for m, mask in enumerate(MASKS):
-        at, h = W.windows(w, mask, mask[-1] + 1)
+def _seeds(w: W.Words, lengths):
+    """(exact, word index, hash, n) of all masked windows; of the masks for items of n words those of the given lengths, else n is 0. exact: it looks at all n words."""
+    masks = [(mask, mask[-1] + 1, 0) for mask in MASKS] + [(mask, n, n) for n, some in SHORT_MASKS.items() for mask in some]
+    for m, (mask, span, n) in enumerate(masks):
+        if n and n not in lengths:
+            continue
+        at, h = W.windows(w, mask, span)
         with np.errstate(over="ignore"):
-            yield m, at, W.mix(h + np.uint64(m + 1))
+            yield len(mask) == n, at, W.mix(h + np.uint64(m + 1)), n
 
 
 def _parts(texts: pa.Array):
@@ -68,9 +75,12 @@ def benchmark_seeds(items: DataFrame, id_col: str = "item_id", text_col: str = "
                 w, _ = _words(b["text"][lo:hi])
                 ids, text = b["id"].to_pylist()[lo:hi], w.text
                 per: list[list] = [[] for _ in ids]
-                for _, at, h in _seeds(w):
+                sizes = np.diff(w.first)
+                for _, at, h, n in _seeds(w, set(sizes.tolist())):
                     t = text[at] if len(at) else at
                     for i in np.unique(t):
+                        if n and sizes[i] != n:
+                            continue
                         per[i] += [(int(x), int(y)) for x, y in zip(h[t == i].view(np.int64), at[t == i] - w.first[i])]
                 yield pa.RecordBatch.from_pydict({"item": pa.array(ids, b.schema.field("id").type), "words": _as_lists(w.hash, w.first), "seeds": [[{"hash": x, "at": y} for x, y in p] for p in per]}, schema=pa.schema([("item", b.schema.field("id").type), ("words", pa.binary()), ("seeds", pa.list_(pa.struct([("hash", pa.int64()), ("at", pa.int64())])))]))
 
@@ -105,7 +115,7 @@ def seed_filter(seeds: DataFrame) -> tuple[np.ndarray, int]:
     return np.unpackbits(out).astype(bool), power
 
 
-def _hits(bits, reach: int):
+def _hits(bits, reach: int, lengths: frozenset):
     """Rows (uid, doc_id, hits, stretches) of documents with masked windows that pass the filter.
 
     A stretch is the word hashes from reach words before a hit to reach words behind it, overlapping ones merged.
@@ -120,9 +130,12 @@ def _hits(bits, reach: int):
             for lo, hi in _parts(b["text"]):
                 w, _ = _words(b["text"][lo:hi])
                 found = []
-                for _, at, h in _seeds(w):
+                for exact, at, h, _ in _seeds(w, lengths):
                     ok = np.flatnonzero(passed[(h >> np.uint64(64 - power)).astype(np.int64)])
                     ok = ok[np.logical_and.reduce([passed[p] for p in _places(h[ok], power)])]
+                    if exact and len(ok):  # the first place of a phrase in a text is the best: all are equal
+                        one = np.stack([np.searchsorted(w.first, at[ok], "right").astype(np.int64), h[ok].view(np.int64)])
+                        ok = ok[np.sort(np.unique(one, axis=1, return_index=True)[1])]
                     found.append(np.stack([at[ok], h[ok].view(np.int64)]))
                 hits = np.concatenate(found, axis=1)
                 if not hits.shape[1]:
@@ -171,10 +184,12 @@ def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
     small_batches(spark)
     seeds, wanted = benchmark_seeds(items, item_id, item_text)
     bits = spark.sparkContext.broadcast(seed_filter(seeds))
+    short = wanted.select((F.octet_length("words") / 8).cast("int").alias("n")).filter(F.col("n").between(1, max(SHORT_MASKS))).distinct()
+    lengths = frozenset(r.n for r in short.collect())
     kind = docs.schema[id_col].dataType.simpleString()
     reach = window + MASKS[-1][-1] + 1
     marked = stored(
-        docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(_hits(bits, reach), f"uid bigint, doc_id {kind}, hits array<struct<hash:bigint,at:bigint>>, stretches array<struct<`from`:bigint,words:binary>>"),
+        docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(_hits(bits, reach, lengths), f"uid bigint, doc_id {kind}, hits array<struct<hash:bigint,at:bigint>>, stretches array<struct<`from`:bigint,words:binary>>"),
         "hits",
     )
     hits = marked.select("uid", F.explode("hits").alias("h")).select("uid", "h.hash", F.col("h.at").alias("text_at"), F.pmod("uid", F.lit(SALTS)).alias("salt"))

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import zlib
+from itertools import combinations
 
 import numpy as np
 import pytest
@@ -30,6 +31,24 @@ def test_leaks(spark, docs, none):
     assert {r.doc_id for r in decontam.drop_leaks(rows, bench).collect()} == {r.doc_id for r in rows.collect()} - {500, 501, 502, 504}
 
 
+def test_short_items_are_found_with_every_allowed_substitution(spark):
+    """Items of 1 to 13 words, each of their own words, with every choice of as many substituted words as a share of 0.8 leaves, and one more."""
+    items, rows, want = [], [], set()
+    for n in range(1, 14):
+        words = [f"i{n}w{j}" for j in range(n)]
+        items.append((n, " ".join(words)))
+        allowed = n - -(-8 * n // 10)
+        for extra in (0, 1):
+            for out in combinations(range(n), allowed + extra):
+                rows.append((len(rows), " ".join(["front"] * 30 + ["other" if j in out else w for j, w in enumerate(words)] + ["back"] * 30)))
+                want |= set() if extra else {(rows[-1][0], n)}
+    rows.append((len(rows), "i4w0 i4w1 i4w2 gap i4w3 i3w0 i3w1 " + "i1w0 " * 100))
+    want.add((rows[-1][0], 1))
+    got = decontam.find_leaks(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == want and len(got) == len(want)
+    assert [r.at_word for r in got if r.doc_id == rows[-1][0]] == [7]
+
+
 # 3
 
 
