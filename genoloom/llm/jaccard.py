@@ -32,6 +32,8 @@ from genoloom.llm.packing import planes, unplanes
 HOT_SHARE, HOT_MEMBERS = 0.001, 1 << 17
 #: Members of least hash by which near copies meet two nodes of their group.
 STAR_MEMBERS = 4
+#: Nodes of a class in a group of candidates from which on it has blocks of its own; nodes and members of a block of candidates.
+PURE, BLOCK_NODES, BLOCK_MEMBERS = 64, (256, 2048), 1 << 20
 #: Nodes of one tile; larger meetings are cut into blocks, each pair of blocks a tile.
 TILE = 2048
 #: Powers of two between which the filters of nodes and members stay, 16 bits an entry. They only save shuffling; joins decide.
@@ -285,23 +287,35 @@ def _bounded(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     return met.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(run, "a bigint, b bigint")
 
 
-_PACKED = "bucket int, member binary, component binary"
+_PACKED = "bucket int, member binary, least binary, most binary, rows binary"
+_PACKED_KINDS = {"member": np.uint64, "least": np.int64, "most": np.int64, "rows": np.int64}
+
+
+def _by_member(v: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    """One row per member, in its order: its least and greatest component and its rows."""
+    order = np.argsort(v["member"], kind="stable")
+    m = v["member"][order]
+    start = np.flatnonzero(np.concatenate([[True], m[1:] != m[:-1]])) if len(m) else np.zeros(0, np.int64)
+    if not len(start):
+        return v
+    return {"member": m[start], "least": np.minimum.reduceat(v["least"][order], start), "most": np.maximum.reduceat(v["most"][order], start), "rows": np.add.reduceat(v["rows"][order], start)}
 
 
 def _shared(nodes: DataFrame, buckets: int) -> DataFrame:
-    """(member, rows) of prefix members that nodes of two components or more have. Members travel as packed runs."""
+    """(member, rows) of prefix members that nodes of two components or more have.
+
+    Members travel as packed runs, counted before: a member has one row per run, however many nodes hold it.
+    """
 
     def pack(batches):
         held, size = [], 0
 
         def flush():
             m, c = (np.concatenate(x) for x in zip(*held))
-            order = np.argsort(m, kind="stable")
-            m, c = m[order], c[order]
-            ends = np.searchsorted((m >> np.uint64(40)) * np.uint64(buckets) >> np.uint64(24), np.arange(buckets + 1))
+            v = _by_member({"member": m, "least": c, "most": c, "rows": np.ones(len(m), np.int64)})
+            ends = np.searchsorted((v["member"] >> np.uint64(40)) * np.uint64(buckets) >> np.uint64(24), np.arange(buckets + 1))
             for i in np.flatnonzero(np.diff(ends)):
-                a, z = ends[i], ends[i + 1]
-                yield pa.RecordBatch.from_pydict({"bucket": pa.array([int(i)], pa.int32()), "member": [planes(m[a:z])], "component": [planes(c[a:z])]})
+                yield pa.RecordBatch.from_pydict({"bucket": pa.array([int(i)], pa.int32()), **{k: [planes(x[ends[i] : ends[i + 1]])] for k, x in v.items()}})
 
         for b in batches:
             lists = b["prefix"]
@@ -312,19 +326,13 @@ def _shared(nodes: DataFrame, buckets: int) -> DataFrame:
             if size >= PASS_MEMBERS:
                 yield from flush()
                 held, size = [], 0
-        if held:
+        if size:
             yield from flush()
 
     def meet(t: pa.Table) -> pa.Table:
-        m = np.concatenate([unplanes(x, np.uint64) for x in t["member"].to_pylist()])
-        c = np.concatenate([unplanes(x, np.int64) for x in t["component"].to_pylist()])
-        order = np.lexsort((c, m))
-        m, c = m[order], c[order]
-        new = np.concatenate([[True], m[1:] != m[:-1]])
-        start = np.flatnonzero(new)
-        end = np.concatenate([start[1:], [len(m)]])
-        some = c[start] != c[end - 1]
-        return pa.table({"mixed": m[start][some].view(np.int64), "rows": (end - start)[some].astype(np.int64)})
+        v = _by_member({k: np.concatenate([unplanes(x, kind) for x in t[k].to_pylist()]) for k, kind in _PACKED_KINDS.items()})
+        some = v["least"] != v["most"]
+        return pa.table({"mixed": v["member"][some].view(np.int64), "rows": v["rows"][some]})
 
     return nodes.select("prefix", "component").mapInArrow(pack, _PACKED).groupBy("bucket").applyInArrow(meet, "mixed bigint, rows bigint")
 
@@ -369,13 +377,26 @@ def _meetings(nodes: DataFrame, percent: int) -> DataFrame:
     return rows.select(F.xxhash64("member", "band", "x", "y").alias("tile"), "member", "band", "guest", "node", "component", "n", "signature")
 
 
-def _tile_pairs(meetings: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of different classes that meet in a tile and that the bounds allow."""
+def _unite(label: np.ndarray, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """label, the least row that each row is joined with, after joining rows u with rows v."""
+    while True:
+        x, y = label[u], label[v]
+        apart = x != y
+        if not apart.any():
+            return label
+        np.minimum.at(label, np.maximum(x, y)[apart], np.minimum(x, y)[apart])
+        while (up := label[label]).tobytes() != label.tobytes():
+            label = up
 
-    def pairs(key, comp, guest, node, n, sig):
-        """All pairs of equal key at distance 1, 2, ..."""
-        d, rows = 1, np.arange(len(key))
-        out = []
+
+def _tile_edges(meetings: DataFrame, percent: int) -> DataFrame:
+    """Edges (a, b) that join what meets in a tile, is of different classes and may link by sizes and signatures: at most one a row of the tile.
+
+    Whatever pairs the bounds allow are joined by a path of edges, so each of them is inside one group of candidates.
+    """
+
+    def edges(key, comp, guest, node, n, sig):
+        label, rows, d = np.arange(len(key)), np.arange(len(key)), 1
         while True:
             rows = rows[rows + d < len(key)]
             rows = rows[key[rows] == key[rows + d]]
@@ -383,14 +404,16 @@ def _tile_pairs(meetings: DataFrame, percent: int) -> DataFrame:
                 break
             i, j = rows, rows + d
             # home and home, home and guest, repeated home and guest; guests meet each other in their own band
-            use = (comp[i] != comp[j]) & (((guest[i] + guest[j]) & 1 == 1) | ((guest[i] == 0) & (guest[j] == 0)))
+            use = (comp[i] != comp[j]) & (((guest[i] + guest[j]) & 1 == 1) | ((guest[i] == 0) & (guest[j] == 0))) & (label[i] != label[j])
             i, j = i[use], j[use]
             for s in range(0, len(i), 1 << 16):
                 u, v = i[s : s + (1 << 16)], j[s : s + (1 << 16)]
                 ok = may_link(n[u], n[v], sig[u], sig[v], percent)
-                out.append(np.stack([np.minimum(node[u[ok]], node[v[ok]]), np.maximum(node[u[ok]], node[v[ok]])]))
+                if ok.any():
+                    label = _unite(label, u[ok], v[ok])
             d += 1
-        return np.unique(np.concatenate(out, axis=1), axis=1) if out else np.zeros((2, 0), np.int64)
+        moved = np.flatnonzero(label != np.arange(len(key)))
+        return np.unique(np.stack([node[label[moved]], node[moved]]), axis=1)
 
     def run(batches):
         held, size = [], 0
@@ -410,13 +433,115 @@ def _tile_pairs(meetings: DataFrame, percent: int) -> DataFrame:
             yield solve(pa.Table.from_batches(held).combine_chunks())
 
     def solve(t: pa.Table) -> pa.RecordBatch:
-        a, b = pairs(t["tile"].to_numpy(), t["component"].to_numpy(), t["guest"].to_numpy(), t["node"].to_numpy(), t["n"].to_numpy(), narrow(t["signature"].to_pylist()))
+        a, b = edges(t["tile"].to_numpy(), t["component"].to_numpy(), t["guest"].to_numpy(), t["node"].to_numpy(), t["n"].to_numpy(), narrow(t["signature"].to_pylist()))
         return pa.RecordBatch.from_pydict({"a": a, "b": b})
 
     cols = ["tile", "guest", "node", "component", "n", "signature"]
     return meetings.select(*cols).repartition("tile").sortWithinPartitions("tile").mapInArrow(run, "a bigint, b bigint").distinct()
 
 
+def _blocks(rows: DataFrame) -> DataFrame:
+    """(tile, node, component, side): every two nodes of one group and of different classes meet in one tile.
+
+    rows: (node, component, n, grp). A class of more than PURE nodes in its group has blocks of its own, which never meet each other;
+    the smaller classes of a group share mixed blocks, which meet all blocks of the group and themselves.
+    """
+    # small groups go to many tasks, large ones are copied to few blocks
+    nodes = F.greatest(F.lit(BLOCK_NODES[0]), F.least(F.lit(BLOCK_NODES[1]), F.col("cnt") / 8))
+    parts = F.greatest(F.ceil(F.col("cnt") / nodes), F.ceil(F.col("members") / BLOCK_MEMBERS), F.lit(1)).cast("int")
+    classes = rows.groupBy("grp", "component").agg(F.count("*").alias("cnt"), F.sum("n").alias("members"))
+    classes = classes.withColumn("own", F.when(F.col("cnt") > PURE, F.col("component")).otherwise(F.lit(-1)))  # whose blocks: -1 is for the mixed ones
+    # small groups go to many tasks, large ones are copied to few blocks
+    nodes = F.greatest(F.lit(BLOCK_NODES[0]), F.least(F.lit(BLOCK_NODES[1]), F.col("cnt") / 8))
+    parts = F.greatest(F.ceil(F.col("cnt") / nodes), F.ceil(F.col("members") / BLOCK_MEMBERS), F.lit(1)).cast("int")
+    spans = stored(classes.groupBy("grp", "own").agg(F.sum("cnt").alias("cnt"), F.sum("members").alias("members")).withColumn("parts", parts), "spans")
+    block = F.xxhash64("grp", "own", "part").alias("block")
+    blocks = spans.select("grp", "own", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")).select("grp", "own", block)
+    x, y = (blocks.select("grp", F.col("own").alias(f"own_{v}"), F.col("block").alias(v)) for v in "xy")
+    meet = x.join(y, "grp").filter("x <= y and (own_x = -1 or own_x <> own_y)").select("x", "y", F.xxhash64("grp", "x", "y").alias("tile"))
+    end = lambda v, side: F.struct(F.col(v).alias("block"), F.lit(side).alias("side"))
+    sides = F.when(F.col("x") == F.col("y"), F.array(end("x", 2))).otherwise(F.array(end("x", 0), end("y", 1)))
+    meet = meet.select("tile", F.explode(sides).alias("s")).select("s.block", "tile", "s.side")
+    own = rows.join(classes.select("grp", "component", "own"), ["grp", "component"]).join(spans.select("grp", "own", "parts"), ["grp", "own"])
+    own = own.withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    return own.select("node", "component", block).join(meet, "block").select("tile", "node", "component", "side")
+
+
+class _Wide:
+    """Signatures of some sets, 8 to 16 bits a member, by width; distances to them by xor."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        self.width = np.array([max(SIGNATURE_BITS, 1 << (8 * len(s) - 1).bit_length()) for s in sets], np.int64)
+        self.row = np.zeros(len(sets), np.int64)
+        self.of: dict[int, np.ndarray] = {}
+        for w in np.unique(self.width).tolist():
+            i = np.flatnonzero(self.width == w)
+            self.row[i] = np.arange(len(i))
+            bits = np.stack([np.packbits((np.bincount((sets[k] & np.uint64(w - 1)).astype(np.int64), minlength=w) & 1).astype(np.uint8)) for k in i])
+            self.of[w] = bits.view(np.uint64)
+
+    def one(self, i: int) -> np.ndarray:
+        return self.of[int(self.width[i])][self.row[i]]
+
+    def apart(self, sig: np.ndarray, which: np.ndarray) -> np.ndarray:
+        """Bits in which sig differs from the signatures of the sets at which, folded to the narrower of the two: at most the members that they don't share."""
+        out = np.zeros(len(which), np.int64)
+        for w, bits in self.of.items():
+            k = np.flatnonzero(self.width[which] == w)
+            if len(k):
+                mine, theirs = sig, bits[self.row[which[k]]]
+                while len(mine) > theirs.shape[1]:
+                    mine = mine[: len(mine) // 2] ^ mine[len(mine) // 2 :]
+                while theirs.shape[1] > len(mine):
+                    theirs = theirs[:, : theirs.shape[1] // 2] ^ theirs[:, theirs.shape[1] // 2 :]
+                out[k] = np.bitwise_count(theirs ^ mine).sum(1)
+        return out
+
+
+def spanning_links(node: list[int], component: list[int], side: list[int], sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """Links that join all classes that any link between two sides (0 and 1, or 2 and 2) joins.
+
+    A pair is refuted by sizes, by wide signatures, or by the exact intersection of sorted arrays; or it links; or its classes are joined already.
+    """
+    side_, n = np.array(side), np.array([len(s) for s in sets], np.int64)
+    wide = _Wide(sets)
+    names = sorted(set(component))
+    at = np.searchsorted(names, component)
+    joined = np.arange(len(names))  # of each class: its root, brought up to date after each link
+    links = []
+    others = np.flatnonzero(side_ != 0)
+    for i in np.flatnonzero(side_ != 1).tolist():
+        cand = others[others > i] if side_[i] == 2 else others
+        cand = cand[joined[at[cand]] != joined[at[i]]]
+        cand = cand[100 * np.minimum(n[cand], n[i]) >= percent * np.maximum(n[cand], n[i])]
+        if not len(cand):
+            continue
+        total = n[cand] + n[i]
+        far = wide.apart(wide.one(i), cand)
+        room = 100 * ((total - far) // 2) >= percent * (total - (total - far) // 2)
+        cand, far = cand[room], far[room]
+        for j in cand[np.argsort(far, kind="stable")].tolist():
+            if joined[at[i]] == joined[at[j]]:
+                continue
+            both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+            if 100 * both >= percent * (n[i] + n[j] - both):
+                links.append((node[i], node[j]))
+                a, b = joined[at[i]], joined[at[j]]
+                joined[joined == max(a, b)] = min(a, b)
+    return links
+
+
+def _group_links(rows: DataFrame, members: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between classes of the nodes of a group, from tiles that hold whole member arrays: fewer than a tile's rows."""
+
+    def solve(t: pa.Table) -> pa.Table:
+        sets = [np.frombuffer(m, np.uint64) for m in t["members"].to_pylist()]
+        found = spanning_links(t["node"].to_pylist(), t["component"].to_pylist(), t["side"].to_pylist(), sets, percent)
+        return pa.table({"a": pa.array([x[0] for x in found], pa.int64()), "b": pa.array([x[1] for x in found], pa.int64())})
+
+    return _blocks(rows).join(members, "node").groupBy("tile").applyInArrow(solve, "a bigint, b bigint")
+
+
 def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, component_id and n_texts, the number of distinct sets in its class."""
     spark = docs.sparkSession
@@ -435,12 +560,13 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int
     marked = nodes.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
 
     small_batches(spark, 8192)
-    more = stored(_tile_pairs(_meetings(marked, percent), percent), "meetings")
+    edges = stored(_tile_edges(_meetings(marked, percent), percent), "edges")
     small_batches(spark)
-    more = stored(_bounded(more, nodes, percent), "pairs")
-    if not more.isEmpty():
-        members = _members_of(docs, more.select(F.col("a").alias("node")).union(more.select("b")), nodes, k)
-        links = links.union(_linked(more, members, percent))
+    if not edges.isEmpty():
+        groups = components(edges).withColumnRenamed("component", "grp")
+        rows = stored(marked.select("node", "component", "n").join(groups, "node"), "rows")
+        members = _members_of(docs, rows, nodes, k)
+        links = links.union(stored(_group_links(rows, members, percent), "more"))
         labels = components(links)
     classes = nodes.select("key", "key2", "node", "doc_id").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     smallest = classes.groupBy("component").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("n_texts"))

@@ -199,6 +199,42 @@ def test_links_across_bands_and_blocks(spark, monkeypatch):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == want
 
 
+@pytest.mark.parametrize("bridge", [False, True])
+def test_large_classes_that_meet(spark, monkeypatch, bridge):
+    """Two classes of many near copies whose members are a little too far apart, with outliers around both; or one text between that links them."""
+    monkeypatch.setattr(jaccard, "PURE", 4)
+    monkeypatch.setattr(jaccard, "BLOCK_NODES", (3, 5))
+    monkeypatch.setattr(jaccard, "TILE", 5)
+    rnd = random.Random(11)
+    base = [f"b{i}" for i in range(200)]
+    far = [w if i >= 30 else f"f{i}" for i, w in enumerate(base)]  # 170 of 230 words shared: 0.74
+
+    def edited(words, n):
+        words = list(words)
+        for i in rnd.sample(range(40, 200), n):
+            words[i] = f"e{rnd.randrange(10**6)}"
+        return " ".join(words)
+
+    texts = [edited(w, n) for w in (base, far) for n in [0, *[3] * 20, *[12] * 12, *[20] * 8]]
+    texts += [" ".join(f"f{i}" if i < 15 else w for i, w in enumerate(base))] * bridge
+    rows = list(enumerate(texts))
+    rnd.shuffle(rows)
+    want = classes(rows, 1, 80)
+    got = jaccard.join(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), k=1, percent=80).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == want
+    assert (want[41][1] == 0) == bridge
+
+
+def test_wide_signatures_bound_the_overlap():
+    rnd = np.random.default_rng(9)
+    sets = [np.unique(rnd.integers(0, 1 << 64, n, dtype=np.uint64)) for n in (1, 3, 60, 70, 900, 1100, 2000)]
+    sets += [np.unique(np.concatenate([s[: len(s) * 9 // 10], rnd.integers(0, 1 << 64, 1 + len(s) // 9, dtype=np.uint64)])) for s in sets]
+    wide = jaccard._Wide(sets)
+    for i, a in enumerate(sets):
+        far = wide.apart(wide.one(i), np.arange(len(sets)))
+        assert all(f <= len(np.setxor1d(a, b)) for f, b in zip(far, sets)) and far[i] == 0
+
+
 def test_signatures_bound_the_overlap():
     rnd = np.random.default_rng(5)
     for n in (5, 300, 900, 5000):
