@@ -39,6 +39,17 @@ def shared_dir(spark: SparkSession) -> str:
     return made
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """path as a URI that Python's file systems read, of the file system that Spark's default settings name if it has none."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    uri = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(p).toString()
+    scheme, _, rest = uri.partition(":")
+    scheme = {"s3a": "s3", "s3n": "s3"}.get(scheme, scheme)
+    if scheme not in ("file", "hdfs", "s3", "gs", "abfs", "abfss"):
+        raise ValueError(f"{uri}: no file system for tasks that write archives; name another spark.checkpoint.dir")
+    return f"{scheme}:{rest}" if rest.startswith("//") else f"{scheme}://{rest}"
+
+
 def _remove_at_exit(spark: SparkSession, path: str) -> None:
     def remove() -> None:
         jvm = spark.sparkContext._jvm

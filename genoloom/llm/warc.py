@@ -2,8 +2,8 @@
 
 Every page becomes one WARC/1.1 record in a gzip member of its own, in archives that tasks write to the shared folder. Each task
 also yields its captures sorted by URL key, timestamp and page: a locally sorted run. Runs are cut at common splitters, the
-cuts exchanged, and the tasks merge the runs of their range with a loser tree, so that the index is in global order. Archives are
-read back by the index.
+cuts exchanged, and the tasks merge the runs of their range with a loser tree. The merged index is a table in the shared folder with the
+global position of every capture. Archives are read back by it: offsets, sizes, keys and positions come from the index alone.
 
 Of pages with equal payloads of at least min_bytes, the one with the largest page_id is the response; the others are revisits of
 it. Rows that repeat the largest page_id are all responses. A null payload counts as empty, a null URL as ``urn:x-none``; a
@@ -17,20 +17,20 @@ import base64
 import hashlib
 import uuid
 import zlib
-from bisect import bisect_right
 from datetime import datetime, timedelta, timezone
 from urllib.parse import quote, urlsplit
 
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from genoloom.llm import losertree
-from genoloom.llm.common import scratch, small_batches, stored, table
+from genoloom.llm.common import qualified, scratch, small_batches, stored, table
 
-#: Compressed bytes after which a task begins another archive; keys that each run offers for the splitters; salts of a digest's join.
-ARCHIVE_BYTES, RUN_SAMPLES, SALTS = 8 << 20, 16, 16
+#: Compressed bytes after which a task begins another archive; captures that one task merges; archive bytes that one task reads; salts of a digest's join.
+ARCHIVE_BYTES, MERGE_CAPTURES, READ_BYTES, SALTS = 8 << 20, 50_000, 32 << 20, 16
 EPOCH = datetime(2020, 1, 1, tzinfo=timezone.utc)
 
 
@@ -117,7 +117,7 @@ def _write(folder: str):
                 at += len(member)
         if out is not None:
             out.close()
-        captures.sort(key=lambda c: (c[0], c[1], c[2] is not None, c[2] or 0, c[3], c[4]))
+        captures.sort(key=lambda c: (c[0], c[1], -1 if c[2] is None else c[2], c[3], c[4]))
         for i in range(0, len(captures), 4096):
             part = list(zip(*captures[i : i + 4096]))
             yield pa.RecordBatch.from_pydict({"run": [name] * len(part[0]), "seq": range(i, i + len(part[0])), "url_key": part[0], "ts": part[1], "page_id": pa.array(part[2], pa.int64()), "archive": part[3], "at": part[4], "size": part[5]})
@@ -131,52 +131,55 @@ def write_archives(pages: DataFrame, folder: str, min_bytes: int = 1000) -> Data
     Archives get names of their own; those of a task that failed and ran again are in no run and are never read.
     """
     small_batches(pages.sparkSession)
-    return stored(decide(pages, min_bytes).mapInArrow(_write(folder), _RUN), "runs")
+    return stored(decide(pages, min_bytes).mapInArrow(_write(qualified(pages.sparkSession, folder)), _RUN), "runs")
+
+
+_CAPTURE = "url_key string, ts string, page_id bigint, archive string, at bigint, size bigint"
 
 
 def merge_index(runs: DataFrame, parts: int | None = None) -> DataFrame:
-    """The captures of all runs in global order of url_key, ts, page_id: part, place and the capture's columns.
+    """The captures of all runs in global order of url_key, ts, page_id, as a table in the shared folder: position and the capture's columns.
 
-    Each run offers RUN_SAMPLES evenly spaced keys; the driver picks splitters from them. The cuts of a range meet in one task, which merges them by a
-    loser tree without sorting. A hot URL's captures are cut by timestamp too.
+    Splitters come from Spark's range sampling, which holds a fixed number of keys a range. The cuts of a range meet in one task, as runs end to
+    end, which merges them by a loser tree without sorting. A hot URL's captures are cut by timestamp and page too. Captures
+    of equal key, timestamp and page have positions next to each other, in the order of their archives' names and offsets.
     """
-    spark = runs.sparkSession
-    parts = parts or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // 2)
-    ends = runs.groupBy("run").agg(F.count("*").alias("n"))
-    keys = runs.join(ends, "run").filter((F.col("seq") * RUN_SAMPLES) % F.col("n") < RUN_SAMPLES).select("url_key", "ts", F.coalesce("page_id", F.lit(-1)).alias("p")).orderBy("url_key", "ts", "p")
-    offered = [tuple(r) for r in keys.collect()]  # at most RUN_SAMPLES + 1 keys a run
-    cuts = sorted({offered[len(offered) * i // parts] for i in range(1, parts)}) if offered else []
-
-    def deal(batches):
-        for b in batches:
-            keys = zip(b["url_key"].to_pylist(), b["ts"].to_pylist(), [-1 if p is None else p for p in b["page_id"].to_pylist()])
-            yield b.append_column("part", pa.array([bisect_right(cuts, k) for k in keys], pa.int32()))
-
-    def merged(t: pa.Table) -> pa.Table:
-        t = t.sort_by([("run", "ascending"), ("seq", "ascending")])  # puts the cuts of each run end to end; their own order is the run's
-        names = t["run"].to_pylist()
-        rows = list(zip(t["url_key"].to_pylist(), t["ts"].to_pylist(), [-1 if p is None else p for p in t["page_id"].to_pylist()], range(t.num_rows)))
+    parts = parts or runs.count() // MERGE_CAPTURES + 1
+
+    def merged(batches):
+        rows = pa.Table.from_batches(held) if (held := list(batches)) else None
+        if rows is None or not rows.num_rows:
+            return
+        names = rows["run"].to_pylist()
+        keys = list(zip(rows["url_key"].to_pylist(), rows["ts"].to_pylist(), [-1 if p is None else p for p in rows["page_id"].to_pylist()], rows["archive"].to_pylist(), rows["at"].to_pylist(), range(len(names))))
         starts = [i for i in range(len(names)) if i == 0 or names[i] != names[i - 1]] + [len(names)]
-        order = [r[3] for r in losertree.merge([rows[a:b] for a, b in zip(starts, starts[1:])])]
-        t = t.take(pa.array(order, pa.int64()))
-        return t.append_column("place", pa.array(range(len(order)), pa.int64())).select(["part", "place", "url_key", "ts", "page_id", "archive", "at", "size"])
+        order = [k[-1] for k in losertree.merge([keys[a:b] for a, b in zip(starts, starts[1:])])]
+        out = rows.select([f.split()[0] for f in _CAPTURE.split(", ")]).take(pa.array(order, pa.int64()))
+        out = out.append_column("part", pa.array([TaskContext.get().partitionId()] * len(order), pa.int32())).append_column("place", pa.array(range(len(order)), pa.int64()))
+        yield from out.to_batches(max_chunksize=8192)
 
-    return runs.mapInArrow(deal, f"{_RUN}, part int").groupBy("part").applyInArrow(merged, "part int, place bigint, url_key string, ts string, page_id bigint, archive string, at bigint, size bigint")
+    cut = runs.repartitionByRange(parts, "url_key", "ts", F.coalesce("page_id", F.lit(-1).cast("long")), "archive", "at").sortWithinPartitions("run", "seq")
+    ranges = stored(cut.mapInArrow(merged, f"{_CAPTURE}, part int, place bigint"), "ranges")
+    counts = ranges.groupBy("part").agg(F.count("*").alias("n"))  # a row a range
+    before = counts.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    return ranges.join(before, "part").select((F.col("before") + F.col("place")).alias("position"), *[f.split()[0] for f in _CAPTURE.split(", ")])
 
 
 def read_archives(index: DataFrame, folder: str) -> DataFrame:
-    """One row per indexed record, from the archives' bytes: page_id, payload_bytes, payload_digest, record_type, refers_to, url_key, ts.
+    """One row per indexed record, from the archives' bytes: page_id, payload_bytes, payload_digest, record_type, refers_to, and the index's url_key, ts, position.
 
-    The records of an archive are read by one task in their order in the file. A response's length and digest are taken from its payload,
-    a revisit's from the headers that it keeps of it.
+    The records of an archive are read by one task in their order in the file; the number of tasks follows from the archives' bytes. A
+    response's length and digest are taken from its payload, a revisit's from the headers that it keeps of it.
     """
+    spark = index.sparkSession
+    folder = qualified(spark, folder)
 
     def run(batches):
         where, base = fs.FileSystem.from_uri(folder)
         name, source = None, None
         for b in batches:
             out = []
-            for archive, at, size, key, ts in zip(*[b[c].to_pylist() for c in ("archive", "at", "size", "url_key", "ts")]):
+            for archive, at, size, key, ts, position in zip(*[b[c].to_pylist() for c in ("archive", "at", "size", "url_key", "ts", "position")]):
                 if archive != name:
                     if source is not None:
                         source.close()
@@ -187,17 +190,20 @@ def read_archives(index: DataFrame, folder: str) -> DataFrame:
                 if kind == "response" and hashlib.sha1(payload).hexdigest() != told:
                     raise ValueError(f"{archive} at {at}: the payload does not match its digest")
                 n = len(payload) if kind == "response" else int(http["content-length"])
-                out.append((_page(warc["warc-record-id"]), n, told, kind, _page(warc["warc-refers-to"]) if kind == "revisit" else None, key, ts))
-            cols = list(zip(*out)) or [[]] * 7
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string()))], names=["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "ts"])
+                out.append((_page(warc["warc-record-id"]), n, told, kind, _page(warc["warc-refers-to"]) if kind == "revisit" else None, key, ts, position))
+            cols = list(zip(*out)) or [[]] * 8
+            kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "ts", "position"])
         if source is not None:
             source.close()
 
-    by_file = index.select("archive", "at", "size", "url_key", "ts").repartition("archive").sortWithinPartitions("archive", "at")
-    return by_file.mapInArrow(run, "page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint, url_key string, ts string")
+    held = index.agg(F.countDistinct("archive").alias("files"), F.sum("size").alias("bytes")).first()
+    tasks = max(1, min(held.files, max(spark.sparkContext.defaultParallelism, (held.bytes or 0) // READ_BYTES)))
+    by_file = index.select("archive", "at", "size", "url_key", "ts", "position").repartition(tasks, "archive").sortWithinPartitions("archive", "at")
+    return by_file.mapInArrow(run, "page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint, url_key string, ts string, position bigint")
 
 
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = scratch(spark, "warc")
     runs = write_archives(table(spark, sf_dir, "pages"), folder)
-    return read_archives(merge_index(runs), folder)
+    return read_archives(stored(merge_index(runs), "index"), folder)

@@ -260,11 +260,11 @@ def test_archives(spark, tmp_path):
     rows = [(i, f"http://www.h{i % 3}.example.com/p?q={i % 5}", h) for i, h in enumerate([big, big, "small", "small", other, None, "", big, other, "x" * 999, "x" * 999])]
     rows += [(7, rows[7][1], big), (50, None, "y\r\n\r\nWARC/1.1\r\n" * 100), (None, "http://[bad", other)]
     d = spark.createDataFrame([(*r, "x") for r in rows], "page_id long, url string, html string, record_type string")
-    index = warc.merge_index(warc.write_archives(d, f"file://{tmp_path}/a"), parts=3).orderBy("part", "place").collect()
+    index = warc.merge_index(warc.write_archives(d, f"file://{tmp_path}/a"), parts=3).orderBy("position").collect()
     keys = [(r.url_key, r.ts, -1 if r.page_id is None else r.page_id) for r in index]
-    assert keys == sorted(keys) and len(keys) == len(rows)
+    assert keys == sorted(keys) and [r.position for r in index] == list(range(len(rows)))
     got = warc.read_archives(warc.merge_index(warc.write_archives(d, f"file://{tmp_path}/b")), f"file://{tmp_path}/b").collect()
-    assert len(got) == len(rows)
+    assert len(got) == len(rows) and sorted((r.position, r.url_key, r.ts, r.page_id or -1) for r in got) == [(i, k, t, p or -1) for i, (k, t, p) in enumerate(keys)]
     html = {p: (h or "").encode() for p, _, h in rows}
     latest = {}
     for p, h in html.items():
