@@ -1,6 +1,6 @@
 """DuckDB SQL for the operators that SQL can express.
 
-Contracts give all columns but the verdict of operator 10 (kept, kept_chars), the class size of operator 5 (n_texts) and the URL key and timestamp of
+Contracts give all columns but the verdict of operator 10 (kept, kept_chars), the class size of operator 5 (n_texts) and the URL key, timestamp and position of
 operator 7: those follow the rules that the operators state.
 Operators 1 (marginal compressed bytes), 2 (placement of aligned windows), 3 (ridge regression), 6 and 8 (byte-pair merges) and 9 (hash draws
 and CRC-32, which DuckDB lacks) have none. Word and phrase lists are those of the operator, as parameters.
@@ -68,15 +68,19 @@ u AS (
   SELECT *, regexp_replace(lower(regexp_extract(url, '^[A-Za-z]+://([^/?#:]*)', 1)), '^www\.', '') AS host,
     regexp_extract(url, '^[A-Za-z]+://[^/?#]*([^?#]*)', 1) AS path, regexp_extract(url, '^[^?#]*\?([^#]*)', 1) AS query
   FROM r
+),
+k AS (
+  SELECT *, array_to_string(list_reverse(string_split(host, '.')), ',') || ')' || CASE WHEN path = '' THEN '/' ELSE path END || CASE WHEN query = '' THEN '' ELSE '?' || query END AS url_key,
+    strftime(TIMESTAMP '2020-01-01' + to_seconds(page_id % 1000000000), '%Y-%m-%dT%H:%M:%SZ') AS ts
+  FROM u
 )
 SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, digest AS payload_digest, CASE WHEN response = page_id THEN 'response' ELSE 'revisit' END AS record_type,
-  CASE WHEN response <> page_id THEN response END AS refers_to,
-  array_to_string(list_reverse(string_split(host, '.')), ',') || ')' || CASE WHEN path = '' THEN '/' ELSE path END || CASE WHEN query = '' THEN '' ELSE '?' || query END AS url_key,
-  strftime(TIMESTAMP '2020-01-01' + to_seconds(page_id % 1000000000), '%Y-%m-%dT%H:%M:%SZ') AS ts
-FROM u
+  CASE WHEN response <> page_id THEN response END AS refers_to, url_key, ts, CAST(row_number() OVER (ORDER BY url_key, ts, page_id) - 1 AS BIGINT) AS position
+FROM k
 """
 
 _SYMBOLS = r"[^#*$%&|<>]"
+_TERMINAL = "'" + rules.TERMINAL.replace("'", "''") + "'"
 OP10 = f"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^{CUT}]+') AS w FROM documents),
 triples AS (SELECT doc_id, unnest(range(1, len(w) - 1)) AS i, unnest(list_transform(range(1, len(w) - 1), lambda i : w[i:i + 2])) AS t FROM d WHERE len(w) >= 3),
@@ -88,15 +92,26 @@ lines AS (
     row_number() OVER (PARTITION BY doc_id, bare ORDER BY i) AS nth, row_number() OVER (PARTITION BY doc_id, line ORDER BY i) AS nth_line
   FROM (SELECT doc_id, i, line, trim(line, ' ' || chr(9) || chr(11) || chr(12) || chr(13)) AS bare FROM cut) WHERE bare <> ''
 ),
+ends AS (
+  SELECT *, contains({_TERMINAL}, right(bare, 1)) AS ended, left(lead(bare) OVER (PARTITION BY doc_id ORDER BY i), 1) AS after,
+    length(regexp_replace(bare, '[^{rules.SEPARATORS}]', '', 'g')) AS cuts
+  FROM lines
+),
+rows_of AS (SELECT *, NOT ended AND len(w) <= {rules.ITEM_WORDS} AS short, sum(CASE WHEN NOT ended AND len(w) <= {rules.ITEM_WORDS} THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY i) AS row_no FROM ends),
+menus AS (SELECT *, short AND sum(CASE WHEN short THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, row_no) >= {rules.MENU_LINES} AS in_menu FROM rows_of),
 judged AS (
   SELECT doc_id, chars, nth_line,
+    in_menu OR cuts >= 2 AND len(w) <= {rules.ITEM_WORDS} * (cuts + 1)
+    OR len(w) >= {rules.LONG_LINE} AND NOT ended AND NOT coalesce(lower(after) = after AND upper(after) <> after, FALSE) AND regexp_replace(bare, '[^{rules.SENTENCE_ENDS}]', '', 'g') = ''
+    OR (contains(bare, '://') OR contains(bare, 'www.')) AND 2 * len(list_filter(w, lambda x : contains(x, '://') OR starts_with(x, 'www.'))) >= len(w)
+    OR contains(bare, '©') OR
     len(w) > 3 AND nth > 1
     OR len(w) >= 3 AND (length(regexp_replace(bare, '{_SYMBOLS}', '', 'g')) * 5 >= len(w) * 2 OR length(regexp_replace(bare, '[^!]', '', 'g')) * 2 >= len(w))
     OR len(w) >= 4 AND len(list_filter(w, lambda x : upper(x) = x AND lower(x) <> x)) * 10 >= len(w) * 7
     OR len(w) >= 8 AND len(list_distinct(w)) * 10 <= len(w) * 7 AND list_max(map_values(list_aggregate(w, 'histogram'))) * 10 >= len(w) * 4
-    OR len(w) <= 4 AND rtrim(low, ' >»|.') IN ({_texts(rules.NAVIGATION)})
+    OR len(w) <= {rules.ITEM_WORDS} AND rtrim(low, ' >»|.') IN ({_texts(rules.NAVIGATION)})
     OR len(list_filter([{_texts(rules.BOILERPLATE)}], lambda x : contains(low, x))) > 0 AS fails
-  FROM lines
+  FROM menus
 ),
 left_over AS (SELECT doc_id, sum(CASE WHEN nth_line > 1 THEN 1 ELSE 0 END) AS n_dup_lines, sum(CASE WHEN fails THEN 0 ELSE chars END) AS kept_chars FROM judged GROUP BY doc_id),
 counts AS (
