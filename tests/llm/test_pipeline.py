@@ -26,8 +26,9 @@ def test_stages(spark):
     leaks = {r.doc_id for r in decontam.find_leaks(one, spark.read.parquet(f"{DATA}/benchmark.parquet")).collect()}
     assert clean.columns == names and {r.doc_id for r in clean.collect()} == {r.doc_id for r in one.collect()} - leaks
     masked = {r.doc_id: r for r in stages["secrets"](spark, clean, DATA).collect()}
+    by = secrets.Scanner(dictionary=secrets.identifier_dictionary(clean))
     assert set(masked) == {r.doc_id for r in clean.collect()}
-    assert all(masked[r.doc_id].text == secrets.mask(r.text) and not secrets.base_spans(masked[r.doc_id].text or "") for r in clean.collect())
+    assert all(masked[r.doc_id].text == secrets.mask(r.text, by=by) and not secrets.base_spans(masked[r.doc_id].text or "") for r in clean.collect())
     ids = stages["tokens"](spark, clean, DATA).collect()
     assert {r.doc_id for r in ids} == set(masked) and all(len(r.ids) == 4 * r.n_tokens for r in ids)
 
