@@ -5,8 +5,9 @@ an anchor, the place in it whose GRAM-byte gram hashes lowest; equal strings hav
 enough to sort the suffixes at anchors, about one in 35 bytes.
 
 1. Anchors. Each task makes sorted runs of its anchors (gram hash, hash of the whole stretch of bytes that the strings of the anchor cover, place).
-   Equal stretches of one gram settle all but the earliest; grams with one stretch are done.
-2. Suffixes. Of the rest (stretches that differ but share a gram, such as the edges of passages) each task sorts the suffixes and writes
+   Stretches of a run that are equal, byte by byte, settle all but the earliest of them there and then; the earliest are exchanged by gram, and those
+   whose gram no other has are done.
+2. Suffixes. Of the rest each task sorts the suffixes and writes
    runs in front coding: the length of the prefix shared with the suffix before, and the remaining bytes. Runs are exchanged by gram and
    merged by a loser tree that keeps the common prefix with the last winner and never compares it again. The
    common prefixes to the right and those of the reversed left contexts give, for every offset, classes of equal strings;
@@ -34,8 +35,8 @@ from genoloom.llm.packing import planes, unplanes
 
 #: Bytes of a gram.
 GRAM = 32
-#: Bytes of text of one run, and of packed anchors that one task of the exchange should get.
-RUN_BYTES, BUCKET_BYTES = 12 << 20, 4 << 20
+#: Bytes of text of one run, and of packed anchors that one task of the exchange should get; tasks of an exchange at least.
+RUN_BYTES, BUCKET_BYTES, LEAST_BUCKETS = 12 << 20, 4 << 20, 32
 #: Bits of the fixed-size filter of documents in need of their text again. It only saves shuffling; joins decide.
 FILTER_BITS = 24
 NULL_ID = (1 << 63) - 1
@@ -87,117 +88,118 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int) -> dict[str, np.
     return {"text": text, "at": at, "first": first, "last": last, "gram": spread, "stretch": stretch}
 
 
-_RUN = "bucket int, gram binary, stretch binary, doc binary, part binary, at binary, before binary, upto binary, settled binary"
+_RUN = "bucket int, gram binary, stretch binary, doc binary, part binary, at binary, before binary, upto binary, settled boolean"
 _FOUND = "doc bigint, part int, settled boolean, gram bigint, at bigint, first bigint, last bigint, crowd boolean"
-_KINDS = {"gram": np.uint64, "stretch": np.uint64, "doc": np.int64, "part": np.uint32, "at": np.uint32, "before": np.uint8, "upto": np.uint8, "settled": np.uint8}
+_KINDS = {"gram": np.uint64, "stretch": np.uint64, "doc": np.int64, "part": np.uint32, "at": np.uint32, "before": np.uint8, "upto": np.uint8}
+#: The bit of a part that marks a null doc_id.
+NO_ID = np.uint32(1 << 31)
 
 
-def _part(texts: pa.Array) -> np.ndarray:
-    """A 32-bit hash of each text, which tells documents of one doc_id apart."""
-    return np.array([int.from_bytes(blake2b((t or "").encode(), digest_size=4).digest(), "little") for t in texts.to_pylist()], np.uint32)
+def _part(texts: pa.Array, ids: pa.Array) -> np.ndarray:
+    """A 31-bit hash of each text, which tells documents of one doc_id apart, under the bit that marks a null doc_id."""
+    h = np.array([int.from_bytes(blake2b((t or "").encode(), digest_size=4).digest(), "little") for t in texts.to_pylist()], np.uint32) & ~NO_ID
+    return h | np.where(ids.is_null().to_numpy(zero_copy_only=False), NO_ID, np.uint32(0))
 
 
 def _runs(buckets: int, length: int):
-    """Sorted runs of anchors, cut by gram into buckets. Copies of a text that the task saw under a smaller doc_id are settled as a whole."""
-
-    def flush(held: list[dict[str, np.ndarray]]):
-        v = {k: np.concatenate([h[k] for h in held]) for k in _KINDS}
-        order = np.lexsort((v["at"], v["part"], v["doc"], v["stretch"], v["gram"]))
-        v = {k: x[order] for k, x in v.items()}
-        same = np.concatenate([[False], (v["gram"][1:] == v["gram"][:-1]) & (v["stretch"][1:] == v["stretch"][:-1])])
-        v["settled"] = np.maximum(v["settled"], same.astype(np.uint8))
-        bucket = (v["gram"] >> np.uint64(40)) * np.uint64(buckets) >> np.uint64(24)
-        ends = np.searchsorted(bucket, np.arange(buckets + 1))
-        for i in range(buckets):
-            a, z = ends[i], ends[i + 1]
-            if z > a:
-                yield pa.RecordBatch.from_pydict({"bucket": pa.array([i], pa.int32()), **{k: [planes(v[k][a:z])] for k in _KINDS}})
+    """Sorted runs of anchors, cut by gram into buckets. Anchors that the run itself settles, and copies of a text that the task saw under a smaller
+    doc_id, are dealt out evenly, whatever their grams."""
+
+    def packed(v: dict[str, np.ndarray], bucket: int, settled: bool) -> pa.RecordBatch:
+        return pa.RecordBatch.from_pydict({"bucket": pa.array([bucket], pa.int32()), **{k: [planes(v[k])] for k in _KINDS}, "settled": [settled]})
+
+    def dealt(v: dict[str, np.ndarray]):
+        n = len(v["doc"])
+        for a in range(0, n, 1 << 15):
+            some = {k: x[a : a + (1 << 15)] for k, x in v.items()}
+            yield packed(some, int(int(some["gram"][0]) % buckets), True)
+
+    def flush(held: list[dict[str, np.ndarray]], copies: list[dict[str, np.ndarray]], raw: bytes):
+        if held:
+            v = {k: np.concatenate([h[k] for h in held]) for k in (*_KINDS, "place")}
+            order = np.lexsort((v["at"], v["part"], v["doc"], v["stretch"], v["gram"]))
+            v = {k: x[order] for k, x in v.items()}
+            same = np.concatenate([[False], (v["gram"][1:] == v["gram"][:-1]) & (v["stretch"][1:] == v["stretch"][:-1])])
+            start, size = v["place"] - v["before"], v["before"].astype(np.int64) - v["upto"] + length
+            for i in np.flatnonzero(same).tolist():
+                a, b, n = start[i], start[i - 1], size[i]
+                if raw[a : a + n] != raw[b : b + n]:
+                    same[i] = False
+            twice = same & np.concatenate([[False], (v["doc"][1:] == v["doc"][:-1]) & (v["part"][1:] == v["part"][:-1]) & (v["at"][1:] == v["at"][:-1])])  # rows that repeat a document
+            yield from dealt({k: v[k][same & ~twice] for k in _KINDS})
+            v = {k: v[k][~same] for k in _KINDS}
+            bucket = (v["gram"] >> np.uint64(40)) * np.uint64(buckets) >> np.uint64(24)
+            ends = np.searchsorted(bucket, np.arange(buckets + 1))
+            for i in np.flatnonzero(np.diff(ends)).tolist():
+                yield packed({k: x[ends[i] : ends[i + 1]] for k, x in v.items()}, i, False)
+        if copies:
+            yield from dealt({k: np.concatenate([h[k] for h in copies]) for k in _KINDS})
 
     def run(batches):
-        held, size, seen = [], 0, {}
+        held, copies, raw, seen = [], [], bytearray(), {}
         for b in batches:
             ids = pc.fill_null(b["doc"], NULL_ID).to_numpy()
             lengths = pc.fill_null(pc.binary_length(b["text"]), 0).to_numpy(zero_copy_only=False)
             for lo, hi in W.slices(lengths):
                 texts = b["text"][lo:hi]
                 data, offsets = W.raw_bytes(texts)
-                part = _part(texts)
-                use, copies = [], []
+                part = _part(texts, b["doc"][lo:hi])
+                order = [(int(i), int(p & NO_ID)) for i, p in zip(ids[lo:hi], part)]
+                use, again = [], []
                 for i in range(hi - lo):
                     n = offsets[i + 1] - offsets[i]
                     if n < length:
                         continue
                     key = blake2b(data[offsets[i] : offsets[i + 1]].tobytes(), digest_size=16).digest()
                     least = seen.get(key)
-                    if least is None or ids[lo + i] < least:
-                        seen[key] = ids[lo + i]
+                    if least is None or order[i] < least:
+                        seen[key] = order[i]
                         use.append(i)
-                    elif ids[lo + i] > least:
-                        copies.append(i)
+                    elif order[i] > least:
+                        again.append(i)
                 found = anchors(data, offsets, length)
-                if len(found["text"]):
-                    take = np.isin(found["text"], use)
-                    t = found["text"][take]
-                    place = offsets[t]
-                    at, first, last = (found[k][take] for k in ("at", "first", "last"))
-                    held.append({"gram": found["gram"][take], "stretch": found["stretch"][take], "doc": ids[lo + t], "part": part[t], "at": (at - place).astype(np.uint32), "before": (at - first).astype(np.uint8), "upto": (at - last).astype(np.uint8), "settled": np.zeros(len(t), np.uint8)})
-                    # a copy's strings are settled: its anchors go along as such
-                    take = np.isin(found["text"], copies)
-                    t = found["text"][take]
-                    place = offsets[t]
-                    at, first, last = (found[k][take] for k in ("at", "first", "last"))
-                    if len(t):
-                        whole = np.concatenate([[True], t[1:] != t[:-1]])
-                        end = np.concatenate([np.flatnonzero(whole)[1:] - 1, [len(t) - 1]])
-                        # one row per copy: all its starts, told apart by settled = 2 with first and last in at and stretch
-                        held.append({"gram": found["gram"][take][whole], "stretch": (last - place)[end].astype(np.uint64), "doc": ids[lo + t[whole]], "part": part[t[whole]], "at": np.zeros(whole.sum(), np.uint32), "before": np.zeros(whole.sum(), np.uint8), "upto": np.zeros(whole.sum(), np.uint8), "settled": np.full(whole.sum(), 2, np.uint8)})
-                size += len(data)
-            if size >= RUN_BYTES:
-                yield from flush_whole(held)
-                held, size = [], 0
-        if held:
-            yield from flush_whole(held)
-
-    def flush_whole(held):
-        copies = [{k: x[h["settled"] == 2] for k, x in h.items()} for h in held]
-        yield from flush([{k: x[h["settled"] != 2] for k, x in h.items()} for h in held])
-        v = {k: np.concatenate([h[k] for h in copies]) for k in _KINDS}
-        if len(v["doc"]):
-            bucket = (v["gram"] >> np.uint64(40)) * np.uint64(buckets) >> np.uint64(24)
-            for i in np.unique(bucket):
-                yield pa.RecordBatch.from_pydict({"bucket": pa.array([int(i)], pa.int32()), **{k: [planes(v[k][bucket == i])] for k in _KINDS}})
+                take = np.isin(found["text"], use)
+                t = found["text"][take]
+                at, first, last = (found[k][take] for k in ("at", "first", "last"))
+                held.append({"gram": found["gram"][take], "stretch": found["stretch"][take], "doc": ids[lo + t], "part": part[t], "at": (at - offsets[t]).astype(np.uint32), "before": (at - first).astype(np.uint8), "upto": (at - last).astype(np.uint8), "place": at + len(raw)})
+                if again:
+                    # one row a copy: its anchor is its first byte, its strings are those up to the last start, which is in stretch
+                    t = np.array(again)
+                    none = np.zeros(len(t), np.int64)
+                    copies.append({"gram": ids[lo + t].view(np.uint64), "stretch": (offsets[t + 1] - offsets[t] - length).astype(np.uint64), "doc": ids[lo + t], "part": part[t], "at": none.astype(np.uint32), "before": none.astype(np.uint8), "upto": np.full(len(t), 255, np.uint8)})
+                raw += data.tobytes()
+            if len(raw) >= RUN_BYTES:
+                yield from flush(held, copies, bytes(raw))
+                held, copies, raw = [], [], bytearray()
+        yield from flush(held, copies, bytes(raw))
 
     return run
 
 
 def _settle(t: pa.Table) -> pa.Table:
-    """The anchors of one bucket: settled ones, and those that share a gram with other stretches."""
-    v = {k: np.concatenate([unplanes(x, kind) for x in t[k].to_pylist()]) for k, kind in _KINDS.items()}
-    whole = v["settled"] == 2
-    w = {k: x[whole] for k, x in v.items()}
-    v = {k: x[~whole] for k, x in v.items()}
-    order = np.lexsort((v["at"], v["part"], v["doc"], v["stretch"], v["gram"]))
+    """The anchors of one bucket: settled ones, and those that share a gram."""
+
+    def columns(rows: pa.Table) -> dict[str, np.ndarray]:
+        return {k: np.concatenate([np.zeros(0, kind), *(unplanes(x, kind) for x in rows[k].to_pylist())]) for k, kind in _KINDS.items()}
+
+    flag = t["settled"].to_numpy()
+    done, v = columns(t.filter(pa.array(flag))), columns(t.filter(pa.array(~flag)))
+    order = np.lexsort((v["at"], v["part"], v["doc"], v["gram"]))
     v = {k: x[order] for k, x in v.items()}
-    n = len(order)
-    eq = {k: np.concatenate([[False], v[k][1:] == v[k][:-1]]) for k in ("gram", "stretch", "doc", "part", "at")} if n else {}
-    if n:
-        same = eq["gram"] & eq["stretch"]
-        again = same & eq["doc"] & eq["part"] & eq["at"]  # the same place of rows that repeat a document
-        settled = (same & ~again) | ((v["settled"] > 0) & ~again)
-        leads = ~same  # the earliest of each stretch
-        group = np.cumsum(~eq["gram"]) - 1
-        stretches = np.bincount(group[leads], minlength=group[-1] + 1)
-        open_ = leads & (stretches[group] > 1)
-        crowd = stretches[group] > GROUP
-    else:
-        settled = open_ = crowd = np.zeros(0, bool)
-    keep = settled | open_
-    at = v["at"].astype(np.int64)
+    new = {k: np.concatenate([[True], v[k][1:] != v[k][:-1]]) if len(order) else np.zeros(0, bool) for k in ("gram", "doc", "part", "at")}
+    once = new["gram"] | new["doc"] | new["part"] | new["at"]  # rows that repeat a document have the same places
+    v, first = {k: x[once] for k, x in v.items()}, new["gram"][once]
+    group = np.cumsum(first) - 1
+    size = np.bincount(group)[group] if len(group) else group
+    v = {k: x[size > 1] for k, x in v.items()}
+    crowd = size[size > 1] > GROUP
+    whole = done["upto"] == 255
+    at, end = done["at"].astype(np.int64), v["at"].astype(np.int64)
     cols = {
-        "doc": np.concatenate([v["doc"][keep], w["doc"]]), "part": np.concatenate([v["part"][keep], w["part"]]).view(np.int32), "settled": np.concatenate([settled[keep], np.ones(len(w["doc"]), bool)]),
-        "gram": np.concatenate([v["gram"][keep], w["gram"]]).view(np.int64), "at": np.concatenate([at[keep], np.zeros(len(w["doc"]), np.int64)]),
-        "first": np.concatenate([(at - v["before"])[keep], np.zeros(len(w["doc"]), np.int64)]), "last": np.concatenate([(at - v["upto"])[keep], w["stretch"].astype(np.int64)]),
-        "crowd": np.concatenate([crowd[keep], np.zeros(len(w["doc"]), bool)]),
+        "doc": np.concatenate([v["doc"], done["doc"]]), "part": np.concatenate([v["part"], done["part"]]).view(np.int32), "settled": np.concatenate([np.zeros(len(end), bool), np.ones(len(at), bool)]),
+        "gram": np.concatenate([v["gram"], done["gram"]]).view(np.int64), "at": np.concatenate([end, at]),
+        "first": np.concatenate([end - v["before"], at - done["before"]]), "last": np.concatenate([end - v["upto"], np.where(whole, done["stretch"].view(np.int64), at - done["upto"])]),
+        "crowd": np.concatenate([crowd, np.zeros(len(at), bool)]),
     }
     return pa.table({k: pa.array(x) for k, x in cols.items()})
 
@@ -411,10 +413,9 @@ def _bit(ids: np.ndarray) -> np.ndarray:
 
 def _pick(b: pa.RecordBatch, bits, inside: bool):
     """The rows (doc, text) of a batch that the filter lets through, or the others."""
-    ids = pc.fill_null(b["doc"], NULL_ID)
-    at = _bit(ids.to_numpy())
+    at = _bit(pc.fill_null(b["doc"], NULL_ID).to_numpy())
     hit = (bits.value[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1
-    yield pa.RecordBatch.from_arrays([ids, b["text"]], names=["doc", "text"]).filter(pa.array(hit == inside))
+    yield b.select(["doc", "text"]).filter(pa.array(hit == inside))
 
 
 def _marked(docs: DataFrame, bits, inside: bool) -> DataFrame:
@@ -423,7 +424,7 @@ def _marked(docs: DataFrame, bits, inside: bool) -> DataFrame:
     def run(batches):
         for b in batches:
             for some in _pick(b, bits, inside):
-                yield pa.RecordBatch.from_arrays([some["doc"], pa.array(_part(some["text"]).view(np.int32)), some["text"]], names=["doc", "part", "text"])
+                yield pa.RecordBatch.from_arrays([pc.fill_null(some["doc"], NULL_ID), pa.array(_part(some["text"], some["doc"]).view(np.int32)), some["text"]], names=["doc", "part", "text"])
 
     return docs.mapInArrow(run, "doc bigint, part int, text string")
 
@@ -447,11 +448,6 @@ def cut(text: str | None, starts: list[tuple[int, int]], length: int) -> tuple[b
     return b"".join([*out, raw[at:]]), [tuple(s) for s in spans]
 
 
-def _release(spark: SparkSession) -> None:
-    """Let Spark's cleaner drop the shuffle files of finished steps."""
-    spark.sparkContext._jvm.System.gc()
-
-
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 100) -> DataFrame:
     """One row per row of docs: doc_id, n_bytes, n_removed, n_spans, kept_sha256 and spans, the removed byte ranges."""
     if not GRAM <= length <= 255:
@@ -460,23 +456,21 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     small_batches(spark)
     docs = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = int(max(4, total * 34 // 35 // BUCKET_BYTES + 1))
+    buckets = int(max(LEAST_BUCKETS, total * 34 // 35 // BUCKET_BYTES + 1))
     found = docs.mapInArrow(_runs(buckets, length), _RUN).groupBy("bucket").applyInArrow(_settle, _FOUND)
     found = stored(found, "anchors")
-    _release(spark)
 
     unsettled = found.filter("not settled")
     bits = spark.sparkContext.broadcast(_doc_filter(unsettled))
     marks = unsettled.groupBy("doc", "part", "crowd").agg(F.collect_list(F.struct("gram", "at", "first", "last")).alias("open"))
     rows = _marked(docs, bits, True).dropDuplicates(["doc", "part"]).join(marks, ["doc", "part"])
     n_open = unsettled.count()
-    buckets = int(max(4, n_open * 160 // (2 * BUCKET_BYTES) + 1))
+    buckets = int(max(LEAST_BUCKETS, n_open * 160 // (2 * BUCKET_BYTES) + 1))
     merged = rows.filter("not crowd").mapInArrow(_suffix_runs(buckets, length), _SUFFIX).groupBy("bucket").applyInArrow(_merge(length), "doc bigint, part int, first bigint, last bigint")
     merged = stored(merged, "repeats")
     starts = found.filter("settled").select("doc", "part", "first", "last").unionByName(merged)
     if not unsettled.filter("crowd").isEmpty():
         starts = starts.unionByName(stored(_crowded(rows.filter("crowd").select("doc", "part", "text", "open"), length), "crowded"))
-    _release(spark)
 
     bits = spark.sparkContext.broadcast(_doc_filter(starts))
     starts = starts.groupBy("doc", "part").agg(F.collect_list(F.struct("first", "last")).alias("starts"))
@@ -497,9 +491,9 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         for b in batches:
             yield from finish([pa.RecordBatch.from_arrays([x["doc"], x["text"]], names=["doc", "text"]) for x in _pick(b, bits, False)])
 
-    with_marks = _marked(docs, bits, True).join(starts, ["doc", "part"], "left").select("doc", "text", "starts").mapInArrow(finish, kind)
+    with_marks = _marked(docs, bits, True).join(starts, ["doc", "part"], "left").select(F.when(F.col("part") >= 0, F.col("doc")).alias("doc"), "text", "starts").mapInArrow(finish, kind)
     without = docs.mapInArrow(finish_rest, kind)
-    return with_marks.unionByName(without).select(F.when(F.col("doc") != NULL_ID, F.col("doc")).alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans")
+    return with_marks.unionByName(without).select(F.col("doc").alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans")
 
 
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

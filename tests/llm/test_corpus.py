@@ -112,7 +112,7 @@ def repeats(rows, length):
 def test_repeats_equal_brute_force(docs, none, crowd, monkeypatch):
     if crowd:
         monkeypatch.setattr(sufdedup, "GROUP", 2)
-    want = repeats({(r.doc_id, (r.text or "").encode()) for r in docs.collect()}, 100) if False else repeats(list({r.doc_id: (r.doc_id, (r.text or "").encode()) for r in docs.collect()}.values()), 100)
+    want = repeats(list({r.doc_id: (r.doc_id, (r.text or "").encode()) for r in docs.collect()}.values()), 100)
     got = sufdedup.repeated_spans(docs).collect()
     assert len(got) == docs.count()
     for r in got:
@@ -122,6 +122,30 @@ def test_repeats_equal_brute_force(docs, none, crowd, monkeypatch):
         assert sufdedup.repeated_spans(none).count() == 0
 
 
+def test_repeats_of_odd_ids(spark):
+    """Null and greatest ids are different documents, null last; rows of one id with other texts are documents in the order of their texts' hash."""
+    rnd = random.Random(4)
+    x, y, big = prose(rnd, 60), prose(rnd, 60), (1 << 63) - 1
+    rows = [(big, x), (None, x), (None, x), (5, y), (5, y + " more"), (5, y), (-3, x[:150])]
+    got = sufdedup.repeated_spans(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    removed = sorted((str(r.doc_id), r.n_bytes, r.n_removed) for r in got)
+    n, m = len(x.encode()), len(y.encode())
+    five = sorted((a, b) for d, a, b in removed if d == "5")
+    assert [r for r in removed if r[0] != "5"] == sorted([("-3", 150, 0), (str(big), n, 150), ("None", n, n), ("None", n, n)])
+    assert five in ([(m, 0), (m, 0), (m + 5, m)], [(m, m), (m, m), (m + 5, 0)])
+
+
+def test_repeats_in_a_long_text(spark):
+    """A text of over 1 MB that repeats itself, and a short one that repeats a piece of it."""
+    rnd = random.Random(8)
+    piece = prose(rnd, 40_000)
+    raw = (piece + "\n" + "z" * 700_000 + "\n" + piece).encode()
+    rows = [(1, raw.decode()), (2, piece[5000:9000])]
+    got = {r.doc_id: r for r in sufdedup.repeated_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    want = repeats([(i, t.encode()) for i, t in rows], 100)
+    assert {i: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for i, r in got.items()} == want
+
+
 def test_loser_trees():
     rnd = random.Random(3)
     runs = [sorted("".join(rnd.choices("ab", k=rnd.randint(1, 9))).encode() for _ in range(rnd.randint(0, 40))) for _ in range(7)]
