@@ -454,7 +454,7 @@ def _blocks(rows: DataFrame) -> DataFrame:
     # small groups go to many tasks, large ones are copied to few blocks
     nodes = F.greatest(F.lit(BLOCK_NODES[0]), F.least(F.lit(BLOCK_NODES[1]), F.col("cnt") / 8))
     parts = F.greatest(F.ceil(F.col("cnt") / nodes), F.ceil(F.col("members") / BLOCK_MEMBERS), F.lit(1)).cast("int")
-    spans = stored(classes.groupBy("grp", "own").agg(F.sum("cnt").alias("cnt"), F.sum("members").alias("members")).withColumn("parts", parts), "spans")
+    spans = classes.groupBy("grp", "own").agg(F.sum("cnt").alias("cnt"), F.sum("members").alias("members")).withColumn("parts", parts)
     block = F.xxhash64("grp", "own", "part").alias("block")
     blocks = spans.select("grp", "own", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")).select("grp", "own", block)
     x, y = (blocks.select("grp", F.col("own").alias(f"own_{v}"), F.col("block").alias(v)) for v in "xy")
