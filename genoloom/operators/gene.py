@@ -13,6 +13,8 @@ from genoloom.storage import stored
 #: Ranks of function classes, best first (fixed values).
 RANK = {"exonic": 0, "splicing": 1, "ncRNA_exonic": 2, "ncRNA_splicing": 3, "ncRNA_intronic": 4, "UTR5": 5, "UTR3": 5, "intronic": 6, "upstream": 7, "downstream": 7, "intergenic": 8}
 SPLICE, FLANK = 2, 1000
+#: Keys without a partner that hits which need no sequence get in the join with sequences.
+SPREAD = 1 << 20
 
 
 def prepare(transcripts: DataFrame, sequences: DataFrame | None = None) -> DataFrame:
@@ -102,19 +104,23 @@ def classify(pairs: DataFrame, splice: int = SPLICE, flank: int = FLANK) -> Data
 def hits(variants: DataFrame, transcripts: DataFrame, splice: int = SPLICE, flank: int = FLANK, shift: int | None = None) -> DataFrame:
     """One row per variant and transcript within reach: row_id, ref_len, tx order, gene, rank, function, detail, exonic, change.
 
-    Sequences stay out of the range join: only exonic pairs join them, by transcript.
+    The range join is planned once and carries no sequences: hits are classified, then exonic ones join their transcript's sequence by a key that others
+    have no partner for, spread out so that an exchange deals them evenly.
     """
     light = transcripts.select("chrom", F.col("tx_start").alias("start"), F.col("tx_end").alias("end"), *[c for c in transcripts.columns if c not in ("chrom", "seq", "start", "end")])
     names = [c for c in light.columns if c not in ("chrom", "start", "end")]
     pairs = overlap_join(variants.select("row_id", "chrom", "start", "end", "ref", "alt"), light, pad=flank, shift=shift)
     pairs = pairs.select("row_id", "start", "end", "ref", "alt", *[F.col(f"r_{c}").alias(c) for c in names])
     found = classify(pairs, splice, flank)
-    keep = ["row_id", F.greatest(F.col("end") - F.col("start"), F.lit(0)).alias("span"), F.struct("tx_start", "ord").alias("o"), "gene", "rank", "function"]
-    dot = F.lit(".")
-    plain = found.filter("function <> 'exonic'").select(*keep, "detail", dot.alias("exonic"), dot.alias("change"))
+    is_exonic = F.col("function") == "exonic"
     seqs = transcripts.select(F.col("ord").alias("__ord"), "seq")
-    exonic = coding.consequences(found.filter("function = 'exonic'").join(seqs, F.col("ord") == F.col("__ord"), "left").drop("__ord"))
-    return plain.unionByName(exonic.select(*keep, "detail", "exonic", "change"))
+    key = F.when(is_exonic, F.col("ord")).otherwise(-1 - F.pmod(F.xxhash64("row_id"), F.lit(SPREAD)))
+    read = coding.consequences(found.withColumn("__key", key).join(seqs, F.col("__key") == F.col("__ord"), "left").drop("__ord", "__key").withColumnRenamed("detail", "plain"))
+    dot = F.lit(".")
+    return read.select(
+        "row_id", F.greatest(F.col("end") - F.col("start"), F.lit(0)).alias("span"), F.struct("tx_start", "ord").alias("o"), "gene", "rank", "function",
+        F.when(is_exonic, F.col("detail")).otherwise(F.col("plain")).alias("detail"), F.when(is_exonic, F.col("exonic")).otherwise(dot).alias("exonic"), F.when(is_exonic, F.col("change")).otherwise(dot).alias("change"),
+    )
 
 
 def reduce_hits(found: DataFrame, splice: int = SPLICE) -> DataFrame:
@@ -164,7 +170,7 @@ def gene_join(variants: DataFrame, transcripts: DataFrame, prefix: str = "g", sp
     """variants with <prefix>_func, _gene, _detail, _exonic and _change. transcripts: from prepare().
 
     The best hits, one narrow row a variant, are written to the shared folder, because variants without one are asked for their neighbours
-    and hits() would otherwise be planned once more. Inside hits() the range join is planned for each of its two branches.
+    and hits() would otherwise be planned once more.
     """
     best = stored(reduce_hits(hits(variants, transcripts, splice, flank, shift), splice), "gene")
     some = variants.join(best.withColumnRenamed("row_id", "__row"), F.col("row_id") == F.col("__row"), "left").drop("__row")

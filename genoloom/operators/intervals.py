@@ -19,30 +19,34 @@ def leaf_shift(regions: DataFrame) -> int:
     return max(6, min(24, int(max(typical or 1, 1)).bit_length() + 1))
 
 
-def _bin(level: int, position: Column, shift: int) -> Column:
-    return F.lit(level << 48).cast("long") + F.shiftright(position, shift + 3 * level)
-
-
-def _home(start: Column, end: Column, shift: int) -> Column:
-    """The finest bin that holds a whole region, or the top."""
+def _level(start: Column, end: Column, shift: int) -> Column:
+    """The level of the finest bin that holds a whole region; LEVELS for one that no bin holds."""
     last = F.greatest(end - 1, start)
-    out = F.lit(-1).cast("long")
+    out = F.lit(LEVELS)
     for level in reversed(range(LEVELS)):
-        out = F.when(F.shiftright(start, shift + 3 * level) == F.shiftright(last, shift + 3 * level), _bin(level, start, shift)).otherwise(out)
+        out = F.when(F.shiftright(start, shift + 3 * level) == F.shiftright(last, shift + 3 * level), F.lit(level)).otherwise(out)
     return out
 
 
+def _home(start: Column, level: Column, shift: int) -> Column:
+    """The bin of that level at start; -1 for the top."""
+    at = F.coalesce(*[F.when(level == n, F.lit(n << 48).cast("long") + F.shiftright(start, shift + 3 * n)) for n in range(LEVELS)])
+    return F.coalesce(at, F.lit(-1).cast("long"))
+
+
 def overlap_join(queries: DataFrame, regions: DataFrame, pad: int = 0, shift: int | None = None) -> DataFrame:
     """All pairs of a query (chrom, start, end, ...) and a region (chrom, start, end, ...) where they overlap, regions widened by pad.
 
-    Region columns come as ``r_<name>``. Each region lives in one bin and a query visits the bins that it covers at every level, so a pair
-    meets once, by an equi-join on (chromosome, bin). Spark broadcasts the regions if they are small enough and shuffles on that key if not.
-    Queries that cover many bins meet the regions by chromosome.
+    Region columns come as ``r_<name>``. Each region lives in one bin and a query visits the bins that it covers at the levels that hold regions, as one
+    small aggregate tells, so a pair meets once, by an equi-join on (chromosome, bin). Spark broadcasts the regions if they are small enough and
+    shuffles on that key if not. Queries that cover many bins meet the regions by chromosome.
     """
     shift = leaf_shift(regions) if shift is None else shift
     low, high = F.greatest(F.col("start") - pad, F.lit(0)), F.col("end") + pad
     r = regions.select(*[F.col(c).alias(f"r_{c}") for c in regions.columns], F.col("chrom").alias("__chrom"), low.cast("long").alias("__low"), high.cast("long").alias("__high"))
-    r = r.withColumn("__bin", _home(F.col("__low"), F.col("__high"), shift))
+    r = r.withColumn("__level", _level(F.col("__low"), F.col("__high"), shift))
+    held = sorted(r.agg(F.collect_set("__level")).first()[0])  # at most LEVELS + 1 numbers
+    r = r.withColumn("__bin", _home(F.col("__low"), F.col("__level"), shift)).drop("__level")
     first, last = F.greatest(F.col("start") - 1, F.lit(0)), F.col("end") + 1
     wide = F.shiftright(last, shift) - F.shiftright(first, shift) > WIDE
 
@@ -50,8 +54,8 @@ def overlap_join(queries: DataFrame, regions: DataFrame, pad: int = 0, shift: in
         mark = F.lit(level << 48).cast("long")
         return F.transform(F.sequence(F.shiftright(first, shift + 3 * level), F.shiftright(last, shift + 3 * level)), lambda b: b + mark)
 
-    bins = [visited(level) for level in range(LEVELS)]
-    narrow = queries.filter(~wide).withColumn("__bin", F.explode(F.concat(*bins, F.array(F.lit(-1).cast("long")))))
+    bins = [F.array(F.lit(-1).cast("long")) if level == LEVELS else visited(level) for level in held] or [F.array().cast("array<bigint>")]
+    narrow = queries.filter(~wide).withColumn("__bin", F.explode(F.concat(*bins)))
     meets = overlaps(F.col("start"), F.col("end"), F.col("__low"), F.col("__high"))
     a = narrow.join(r, (F.col("chrom") == F.col("__chrom")) & (narrow["__bin"] == r["__bin"]) & meets).drop(narrow["__bin"]).drop(r["__bin"])
     b = queries.filter(wide).join(r.drop("__bin"), (F.col("chrom") == F.col("__chrom")) & meets)
