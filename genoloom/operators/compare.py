@@ -73,3 +73,14 @@ def stratified_sample(variants: DataFrame, seed: str, rates: dict[str, int] | No
     rate = F.coalesce(*[F.when(kind == k, F.lit(r)) for k, r in rates.items()])
     key = F.concat_ws("\t", F.lit(seed), "chrom", F.col("pos").cast("string"), "ref", "alt")
     return variants.withColumn("variant_type", kind).withColumn("__draw", draw(key)).filter(F.col("__draw") < rate).drop("__draw")
+
+
+def examples(rows: DataFrame, by: str, order: str, k: int) -> DataFrame:
+    """The first k rows of each value of by, in order: a report's examples, which is what the limit is for."""
+    w = Window.partitionBy(by).orderBy(order)
+    return rows.withColumn("__n", F.row_number().over(w)).filter(F.col("__n") <= k).drop("__n")
+
+
+def timings(rows: DataFrame, by: list[str], seconds: str) -> DataFrame:
+    """Median, least and most of the timings of each group."""
+    return rows.groupBy(*by).agg(F.percentile(seconds, 0.5).alias("median"), F.min(seconds).alias("least"), F.max(seconds).alias("most"))

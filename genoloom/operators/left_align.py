@@ -62,3 +62,24 @@ def left_align(variants: DataFrame, chunks: DataFrame, window: int = 256, size:
     others = [c for c in variants.columns if c not in core]
     j = variants.join(done, F.col("row_id") == F.col("__row"))
     return j.select("row_id", "chrom", F.col("__start").alias("start"), (F.col("__start") + F.length("__ref")).alias("end"), F.col("__ref").alias("ref"), F.col("__alt").alias("alt"), *others)
+
+
+def check_reference(variants: DataFrame, chunks: DataFrame, size: int = CHUNK) -> DataFrame:
+    """variants whose VCF reference alleles, as written, equal the reference; another one is an error. variants: parse_vcf() rows."""
+    written = F.upper(F.get("fields", F.lit(3)))
+    at = F.get("fields", F.lit(1)).cast("long") - 1
+    here = extract(variants.select("row_id", "chrom", at.alias("start"), (at + F.length(written)).alias("end")), chunks, size).select(F.col("row_id").alias("__row"), F.col("seq").alias("__seq"))
+    j = variants.join(here, F.col("row_id") == F.col("__row"))
+    place = F.concat("chrom", F.lit(":"), F.get("fields", F.lit(1)))
+    ok = F.when(F.col("__seq") == written, F.col("ref")).otherwise(F.raise_error(F.concat(F.lit("reference allele mismatch at "), place)))
+    return j.withColumn("ref", ok).select(*variants.columns)
+
+
+def normalize(variants: DataFrame, chunks: DataFrame, size: int = CHUNK) -> DataFrame:
+    """All variants, those with sequences as alleles at their leftmost place; VCF reference alleles are checked first. Unsupported alternates stay as they are."""
+    if "fields" in variants.columns:
+        variants = check_reference(variants, chunks, size)
+    if "supported" not in variants.columns:
+        return left_align(variants, chunks, size=size).select(*variants.columns)
+    moved = left_align(variants.filter("supported"), chunks, size=size).select(*variants.columns)
+    return moved.unionByName(variants.filter("not supported"))

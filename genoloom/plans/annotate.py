@@ -44,7 +44,11 @@ class Protocol:
 
 @dataclass
 class Annotated:
-    """A lazy result: rows with safe internal names, the headers they get, and the protocols' column ranges."""
+    """A result: rows with safe internal names, the headers they get, and the protocols' column ranges.
+
+    rows is a plan that runs when it is written; gene protocols have written the best hits of each variant to the shared folder by then, and
+    interval protocols have looked at the lengths and levels of their regions.
+    """
 
     rows: DataFrame
     columns: list[str]
@@ -167,11 +171,23 @@ def coding_change(variants: DataFrame, transcripts: DataFrame) -> Annotated:
     return annotate(variants, [Protocol("annotation", "gene", transcripts)])
 
 
-def open_protocol(spark: SparkSession, name: str, operation: str, path: str, mrna: str | None = None) -> Protocol:
-    """A protocol from its files."""
+def open_protocol(spark: SparkSession, name: str, operation: str, path: str, mrna: str | None = None, build: str | None = None, reference: DataFrame | None = None) -> Protocol:
+    """A protocol from its files. build: what a score file must be for. reference: the chunks that the variants are left-aligned against, if they are.
+
+    A filter table is read from its index, ``<path>.index``, if there is one; left-aligned variants need one that was left-aligned against the same reference.
+    """
+    from genoloom.plans import index
     from genoloom.sources import readers
+    from genoloom.sources.cadd import open_scores
 
     kind = OPERATIONS.get(operation)
+    if kind == "cadd":
+        return Protocol(name, operation, open_scores(spark, path, build)[0])
+    if kind == "filter" and index.is_index(f"{path}.index"):
+        table, names = index.open_index(spark, f"{path}.index", "none" if reference is None else "left-align", reference=reference)
+        return Protocol(name, operation, table, names)
+    if kind == "filter" and reference is not None:
+        raise ValueError(f"{name}: left-aligned variants need a left-aligned index of the filter table")
     raw = readers.lines(spark, path)
     if kind == "filter":
         table, names = readers.parse_filter_db(raw)
@@ -181,8 +197,16 @@ def open_protocol(spark: SparkSession, name: str, operation: str, path: str, mrn
         return Protocol(name, operation, table, names, gff3)
     if kind == "gene":
         return Protocol(name, operation, gene.prepare(readers.parse_gene_model(raw), readers.read_fasta(spark, mrna) if mrna else None))
-    if kind == "cadd":
-        from genoloom.sources.cadd import read_scores
-
-        return Protocol(name, operation, read_scores(spark, path)[0])
     raise ValueError(f"unknown operation {operation}")
+
+
+def strict_filter(spark: SparkSession, variants: str, database: str) -> Annotated:
+    """The strict exact filter of a five-column variant file against one table: see readers.parse_strict_avinput() and sinks.write_strict()."""
+    from genoloom.sources import readers
+
+    rows = readers.parse_strict_avinput(readers.lines(spark, variants))
+    table, names = readers.parse_filter_db(readers.lines(spark, database), strict=True)
+    out = annotate(rows, [Protocol("strict", "f", table, names)], with_status=False)
+    given = {c: F.get("original", F.lit(i)) for i, c in enumerate(CORE)}
+    out.rows = out.rows.withColumns(given)
+    return out

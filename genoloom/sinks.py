@@ -31,7 +31,8 @@ def write_table(result: Annotated, path: str, csv: bool = False) -> None:
 
 def write_strict(result: Annotated, path: str) -> None:
     """The strict table: bare column names, no status, quotes where a field needs them."""
-    keep = [(c, h.split(".")[0] if "." in h else h) for c, h in zip(result.columns, result.headers) if h != "AnnotationStatus"]
+    bare = {c: n for p, cols in result.ranges for c, n in zip(cols, p.names)}
+    keep = [(c, bare.get(c, h)) for c, h in zip(result.columns, result.headers) if h != "AnnotationStatus"]
     lines = result.rows.select("row_id", F.concat_ws("\t", *[strict_field(F.col(c)) for c, _ in keep]).alias("value"))
     publish_lines(lines, path, ["\t".join(h for _, h in keep)], "row_id")
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from genoloom.functions.alleles import chrom
 from genoloom.operators.scores import check_scores
 from genoloom.sources.readers import lines
+from genoloom.storage import file_system
 
 #: Column names of a native score file (fixed values), and the builds its version line names.
 HEADER = "#Chrom\tPos\tRef\tAlt\tRawScore\tPHRED"
@@ -38,9 +40,32 @@ def read_scores(spark: SparkSession, path: str, build: str | None = None) -> tup
     return check_scores(named.drop("given")), found, version
 
 
-def store_scores(scores: DataFrame, path: str) -> None:
-    """Scores as Parquet by chromosome, sorted by position, so that lookups prune files and row groups instead of using an index file."""
-    scores.repartitionByRange("chrom", "pos").sortWithinPartitions("chrom", "pos").write.partitionBy("chrom").parquet(path)
+def store_scores(spark: SparkSession, source: str, path: str, build: str | None = None) -> None:
+    """A native file as Parquet, ranged and sorted by chromosome and position, with a manifest of its build and version; written once, read by open_scores().
+
+    Lookups prune files and row groups by their statistics. The manifest comes last, so an unfinished store is none.
+    """
+    scores, found, version = read_scores(spark, source, build)
+    scores.repartitionByRange("chrom", "pos").sortWithinPartitions("chrom", "pos").write.parquet(f"{path}/rows")
+    fs, p = file_system(spark, f"{path}/manifest.json")
+    out = fs.create(p, True)
+    out.write(bytearray(json.dumps({"build": found, "version": version, "source": source}).encode()))
+    out.close()
+
+
+def is_store(spark: SparkSession, path: str) -> bool:
+    fs, p = file_system(spark, f"{path}/manifest.json")
+    return fs.exists(p)
+
+
+def open_scores(spark: SparkSession, path: str, build: str | None = None) -> tuple[DataFrame, str, str]:
+    """Scores, build and version of a store or a native file. A build that isn't the asked one is an error."""
+    if not is_store(spark, path):
+        return read_scores(spark, path, build)
+    m = json.loads("".join(r.value for r in spark.read.text(f"{path}/manifest.json").collect()))
+    if build and build != m["build"]:
+        raise ValueError(f"the score file is for {m['build']}")
+    return spark.read.parquet(f"{path}/rows"), m["build"], m["version"]
 
 
 def import_table(spark: SparkSession, path: str) -> DataFrame:

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from genoloom.functions import alleles as A
 
 NUMBER = r"^\+?[0-9]{1,19}$"
+#: Alleles that a VCF line has ids for; a line of 2^20 alternates is longer than Spark's strings are in practice.
+ALLELES = 1 << 20
 
 
 def lines(spark: SparkSession, path: str) -> DataFrame:
@@ -106,7 +108,7 @@ def parse_vcf(raw: DataFrame) -> DataFrame:
     as_is = F.struct(F.col("pos").alias("start"), (F.col("pos") + F.length("vref")).cast("long").alias("end"), F.col("vref").alias("ref"), F.col("valt").alias("alt"))
     t = F.when(F.col("valt") == "", fail("empty alternate allele", line).cast("struct<start:bigint,end:bigint,ref:string,alt:string>")).when(plain, F.col("t")).otherwise(as_is)
     return rows.withColumn("t", t).select(
-        ((F.col("line_no") - 1) * 1024 + F.col("allele_index")).alias("row_id"), "chrom", F.col("chrom").alias("output_chrom"), "t.start", "t.end", "t.ref", "t.alt", F.array().cast("array<string>").alias("extra"),
+        ((F.col("line_no") - 1) * ALLELES + F.col("allele_index")).alias("row_id"), "chrom", F.col("chrom").alias("output_chrom"), "t.start", "t.end", "t.ref", "t.alt", F.array().cast("array<string>").alias("extra"),
         F.col("line_no").alias("source_line"), F.col("line_no").alias("record"), "allele_index", plain.alias("supported"), "fields",
     )
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import sys
 import tempfile
 import uuid
 
@@ -47,12 +48,40 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def replace(spark: SparkSession, source, target) -> None:
+    """Rename source to target in one step that overwrites it: readers see the old file or the new one."""
+    jvm = spark.sparkContext._jvm
+    kind = getattr(jvm.org.apache.hadoop.fs, "Options$Rename")
+    how = spark.sparkContext._gateway.new_array(kind, 1)
+    how[0] = kind.OVERWRITE
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getUri(), spark.sparkContext._jsc.hadoopConfiguration())
+    context.rename(context.makeQualified(source), context.makeQualified(target), how)
+
+
+def spool(spark: SparkSession, stream) -> str:
+    """The path of a file in the shared folder with the bytes of a stream such as standard input."""
+    path = scratch_folder(spark, "input")
+    fs, p = file_system(spark, f"{path}/lines.txt")
+    out = fs.create(p, True)
+    while block := stream.read(1 << 20):
+        out.write(bytearray(block))
+    out.close()
+    return f"{path}/lines.txt"
+
+
 def publish_lines(lines: DataFrame, path: str, header: list[str], order: str) -> None:
-    """Write the column ``value`` in order to one file that appears whole or not at all.
+    """Write the column ``value`` in order to one file that appears whole or not at all; the path ``-`` means standard output.
 
     Spark sorts by range and writes its parts in parallel; the parts are then joined under a temporary name beside the target by streaming
-    one after another, and renamed.
+    one after another, and renamed over it. A path that ends in / gets the ordered parts themselves, with a header part in front, and nothing streams through
+    the driver.
     """
+    if path == "-":
+        _print_lines(lines, header, order)
+        return
+    if path.endswith("/"):
+        _publish_parts(lines, path, header, order)
+        return
     spark = lines.sparkSession
     parts = scratch_folder(spark, "lines")
     lines.orderBy(order).select("value").write.option("lineSep", "\n").text(parts)
@@ -69,11 +98,40 @@ def publish_lines(lines: DataFrame, path: str, header: list[str], order: str) ->
             spark.sparkContext._jvm.org.apache.hadoop.io.IOUtils.copyBytes(src, out, 1 << 16, False)
             src.close()
         out.close()
-        if out_fs.exists(target):
-            out_fs.delete(target, False)
-        if not out_fs.rename(temp, target):
-            raise OSError(f"cannot publish {path}")
+        replace(spark, temp, target)
     finally:
         if out_fs.exists(temp):
             out_fs.delete(temp, False)
         fs.delete(folder, True)
+
+
+def _print_lines(lines: DataFrame, header: list[str], order: str) -> None:
+    spark = lines.sparkSession
+    parts = scratch_folder(spark, "lines")
+    lines.orderBy(order).select("value").write.option("lineSep", "\n").text(parts)
+    sys.stdout.write("".join(h + "\n" for h in header))
+    fs, folder = file_system(spark, parts)
+    for n in sorted(s.getPath().getName() for s in fs.listStatus(folder) if s.getPath().getName().startswith("part-")):
+        for row in spark.read.option("lineSep", "\n").text(f"{parts}/{n}").coalesce(1).toLocalIterator():
+            sys.stdout.write(row.value + "\n")
+    sys.stdout.flush()
+    fs.delete(folder, True)
+
+
+def _publish_parts(lines: DataFrame, path: str, header: list[str], order: str) -> None:
+    spark = lines.sparkSession
+    fs, target = file_system(spark, path.rstrip("/"))
+    if fs.exists(target):
+        raise FileExistsError(path)
+    temp = f"{path.rstrip('/')}.{uuid.uuid4().hex}.tmp"
+    _, source = file_system(spark, temp)
+    try:
+        lines.orderBy(order).select("value").write.option("lineSep", "\n").text(temp)
+        out = fs.create(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{temp}/header.txt"), True)
+        out.write(bytearray("".join(h + "\n" for h in header).encode()))
+        out.close()
+        if not fs.rename(source, target):
+            raise OSError(f"cannot publish {path}")
+    finally:
+        if fs.exists(source):
+            fs.delete(source, True)

@@ -1,7 +1,12 @@
+import hashlib
 import http.server
+import io
+import json
+import shutil
 import threading
 
 import pytest
+from pyspark.sql import functions as F
 
 from genoloom import cli, sinks
 from genoloom.plans import annotate as plan
@@ -102,3 +107,92 @@ def test_http_ranges(spark):
     with pytest.raises(OSError, match="changed"):
         reader.read(100_000, 100_010)
     server.shutdown()
+
+
+def test_left_aligned_main_path(spark, demo):
+    """A deletion written at the end of a repeat meets the index's row, which was left-aligned too."""
+    (demo / "g.fa").write_text(">1\nGGCACACATT\n")
+    (demo / "hg38_mine.txt").write_text("#Chr\tStart\tEnd\tRef\tAlt\tvalue\n1\t7\t8\tCA\t-\thit\n")
+    head = "##fileformat=VCFv4.2\n#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO\n"
+    (demo / "shift.vcf").write_text(head + "1\t6\t.\tACA\tA,<DEL>\t.\t.\t.\n")
+    ask = ["table", str(demo / "shift.vcf"), str(demo), "--protocol", "mine", "--operation", "f", "--output", str(demo / "o.tsv")]
+    aligned = [*ask, "--normalize", "left-align", "--reference", str(demo / "g.fa")]
+    assert cli.main(aligned) == 2  # no index
+    index_folder = str(demo / "hg38_mine.txt.index")
+    assert cli.main(["db", "index", str(demo / "hg38_mine.txt"), index_folder, "--reference", str(demo / "g.fa")]) == 0
+    assert cli.main(aligned) == 0
+    rows = [x.split("\t") for x in (demo / "o.tsv").read_text().splitlines()[1:]]
+    assert [r[1:] for r in rows] == [["3", "4", "CA", "-", "hit", "ok"], ["6", "8", "ACA", "<DEL>", ".", "unsupported_alt"]]
+    assert cli.main(ask) == 2  # the index isn't for alleles as written
+    assert cli.main(["db", "validate", index_folder, "--reference", str(demo / "g.fa"), "--full"]) == 0
+    (demo / "g2.fa").write_text(">1\nGGCACACATG\n")
+    assert cli.main([*aligned[:-1], str(demo / "g2.fa")]) == 2  # another reference
+    (demo / "shift.vcf").write_text(head + "1\t6\t.\tGCA\tG\t.\t.\t.\n")
+    assert cli.main(aligned) == 2  # another reference allele
+
+
+def test_damaged_index(spark, demo):
+    folder = demo / "ix"
+    assert cli.main(["db", "index", str(demo / "hg38_clinvar.txt"), str(folder)]) == 0
+    spark.read.parquet(f"{folder}/rows").withColumn("alt", F.lit("T")).write.parquet(f"{folder}/other")
+    shutil.rmtree(folder / "rows")
+    (folder / "other").rename(folder / "rows")
+    index.open_index(spark, str(folder))
+    with pytest.raises(ValueError, match="damaged"):
+        index.open_index(spark, str(folder), full=True)
+    assert index.statistics(index.open_index(spark, str(folder))[0]) == {"records": 1, "contigs": 1}
+
+
+def test_score_store(spark, demo):
+    (demo / "s.tsv").write_text("##CADD GRCh38-v1.7 (c) x\n#Chrom\tPos\tRef\tAlt\tRawScore\tPHRED\n1\t10\tA\tC\t0.5\t7.25\n")
+    with pytest.raises(ValueError, match="hg38"):
+        plan.open_protocol(spark, "s", "cadd", str(demo / "s.tsv"), build="hg19")
+    assert cli.main(["db", "store-scores", str(demo / "s.tsv"), str(demo / "store"), "--build", "hg38"]) == 0
+    assert cli.main(["db", "store-scores", str(demo / "s.tsv"), str(demo / "store")]) == 2
+    with pytest.raises(ValueError, match="hg38"):
+        plan.open_protocol(spark, "s", "cadd", str(demo / "store"), build="hg19")
+    p = plan.open_protocol(spark, "s", "cadd", str(demo / "store"), build="hg38")
+    assert [tuple(r) for r in p.table.collect()] == [("1", 10, "A", "C", "0.5", "7.25")]
+
+
+def test_strict_command(spark, demo):
+    (demo / "db.tsv").write_text("#Chr\tStart\tEnd\tRef\tAlt\tnote.a\tnote.b\n1\t10\t10\tA\tC\tx y\t\"q\"\nchrM\t5\t5\t-\tT\tm\tn\n")
+    (demo / "v.tsv").write_text("chr1\t10\t10\ta\tC\tmine\nMT\t5\t5\t-\tT\tyours\n1\t11\t11\tA\tC\tnone\n")
+    assert cli.main(["strict", str(demo / "v.tsv"), str(demo / "db.tsv"), str(demo / "o.tsv"), "--report", str(demo / "r.json")]) == 0
+    assert (demo / "o.tsv").read_text().splitlines() == [
+        "Chr\tStart\tEnd\tRef\tAlt\tnote.a\tnote.b\tOtherinfo1", 'chr1\t10\t10\ta\tC\tx y\t"""q"""\tmine', "MT\t5\t5\t-\tT\tm\tn\tyours", "1\t11\t11\tA\tC\t.\t.\tnone",
+    ]
+    assert cli.main(["strict", str(demo / "v.tsv"), str(demo / "db.tsv"), str(demo / "v.tsv")]) == 1
+    (demo / "v.tsv").write_text("1\t10\t10\tA\n")
+    assert cli.main(["strict", str(demo / "v.tsv"), str(demo / "db.tsv"), str(demo / "p.tsv")]) == 1 and not (demo / "p.tsv").exists()
+
+
+def test_standard_input_and_output(spark, demo, monkeypatch, capsys):
+    monkeypatch.setattr("sys.stdin", io.TextIOWrapper(io.BytesIO(b"1\t10\t10\tA\tC\n1\t11\t11\tA\tC\n")))
+    assert cli.main(["annotate", "-", str(demo / "hg38_clinvar.txt"), "--protocol", "clinvar", "--output", "-"]) == 0
+    assert capsys.readouterr().out.splitlines() == ["Chr\tStart\tEnd\tRef\tAlt\tclinvar\tAnnotationStatus", "1\t10\t10\tA\tC\tPathogenic\tok", "1\t11\t11\tA\tC\t.\tok"]
+    assert cli.main(["annotate", str(demo / "in.vcf"), str(demo / "hg38_clinvar.txt"), "--output", f"{demo}/parts/"]) == 0
+    assert sorted(p.suffix for p in (demo / "parts").iterdir() if not p.name.startswith((".", "_"))) == [".txt", ".txt"]
+
+
+def test_lists_and_imports(spark, demo, capsys):
+    (demo / "hg19_x.txt").write_text("")
+    assert cli.main(["db", "list", str(demo)]) == 0 and capsys.readouterr().out.split() == ["hg19_x.txt", "hg38_clinvar.txt"]
+    assert cli.main(["db", "list", str(demo), "--build", "hg19"]) == 0 and capsys.readouterr().out.split() == ["hg19_x.txt"]
+    assert cli.main(["db", "stats", str(demo / "hg38_clinvar.txt")]) == 0 and json.loads(capsys.readouterr().out) == {"contigs": 1, "records": 1}
+    (demo / "s.tsv").write_text("## any\n#Chrom\tPos\tRef\tAlt\tMore\tRawScore\tPHRED\nchr1\t10\tA\tC\tz\t0.5\t7.25\n")
+    assert cli.main(["db", "import-scores", str(demo / "s.tsv"), str(demo / "imported")]) == 0
+    r = spark.read.parquet(str(demo / "imported")).first()
+    assert (r.chrom, r.start, r.end, r.ref, r.alt, list(r["values"])) == ("1", 9, 10, "A", "C", ["0.5", "7.25"])
+    (demo / "s.tsv").write_text("#Chrom\tPos\tRef\tAlt\tRawScore\tPHRED\n")
+    assert cli.main(["db", "import-scores", str(demo / "s.tsv"), str(demo / "none")]) == 2
+    (demo / "f").write_text("abc")
+    url, good = (demo / "f").as_uri(), hashlib.sha256(b"abc").hexdigest()
+    assert cli.main(["db", "download", url, str(demo / "got"), "--sha256", good]) == 0 and (demo / "got").read_text() == "abc"
+    assert cli.main(["db", "download", url, str(demo / "bad"), "--sha256", "0" * 64]) == 2 and not (demo / "bad").exists()
+
+
+def test_many_alternates(spark, lines):
+    alts = ",".join("ACGT"[i % 4] * (i // 4 + 2) for i in range(1100))
+    v = readers.parse_vcf(lines(f"1|10|.|A|{alts}|.|.|.", "1|11|.|A|C|.|.|."))
+    assert v.count() == 1101 == v.select("row_id").distinct().count()
