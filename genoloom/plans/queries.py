@@ -272,10 +272,10 @@ def sequence_extract(spark, sf):
     return reference.extract(v.select("row_id", "chrom", "start", "end"), demo.genome(spark, sf), 500).select("row_id", "seq")
 
 
-@query()
+@query(demo.sql("v", select="SELECT row_id, '1' AS chrom, CASE WHEN alt='' THEN s//50*50 ELSE s END AS vstart, CASE WHEN alt='' THEN s//50*50+3 ELSE e END AS vend, ref, alt FROM v"))
 def left_aligned(spark, sf):
     v = demo.variants(spark, sf).withColumn("chrom", F.lit("1"))
-    return left_align.left_align(v, demo.genome(spark, sf), size=500)
+    return left_align.left_align(v, demo.genome(spark, sf), size=500).select("row_id", "chrom", F.col("start").alias("vstart"), F.col("end").alias("vend"), "ref", "alt")
 
 
 @query()
@@ -317,3 +317,6 @@ def multiset_except(spark, sf):
 @query("SELECT o_orderkey%100 AS k FROM orders INTERSECT ALL SELECT c_custkey%100 FROM customer")
 def multiset_intersect(spark, sf):
     return compare.multiset_intersection(demo.read(spark, sf, "orders").select((F.col("o_orderkey") % 100).alias("k")), demo.read(spark, sf, "customer").select((F.col("c_custkey") % 100).alias("k")))
+
+
+from genoloom.plans import file_queries  # noqa: E402,F401  registers its queries
