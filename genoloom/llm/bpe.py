@@ -63,6 +63,7 @@ class WordBPE:
 
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        self.pattern = self._shape(spec)
         self.tok = Tokenizer.from_file(path)
         self.tok.no_truncation()
         self.tok.no_padding()
@@ -83,6 +84,20 @@ class WordBPE:
         self._words: dict[str, tuple[bytes, str]] = {}
         self._missed = 0
 
+    @staticmethod
+    def _shape(spec: dict) -> str:
+        """The split pattern of a file whose other settings are those that this class follows; any other file is an error."""
+        norm, pre, model = (spec.get(k) or {} for k in ("normalizer", "pre_tokenizer", "model"))
+        steps, cuts = norm.get("normalizers", []), pre.get("pretokenizers", [])
+        good = [x.get("type") for x in steps] == ["NFC", "Replace", "Lowercase"] and steps[1] == {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}
+        good = good and [x.get("type") for x in cuts] == ["Split", "ByteLevel"] and (cuts[0].get("behavior"), cuts[0].get("invert")) == ("Removed", True) and "Regex" in cuts[0]["pattern"]
+        good = good and not cuts[1].get("add_prefix_space") and cuts[1].get("use_regex") is False
+        good = good and model.get("type") == "BPE" and not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "byte_fallback", "ignore_merges"))
+        good = good and not spec.get("post_processor") and not spec.get("decoder") and not any(t["normalized"] or t["single_word"] or t["lstrip"] or t["rstrip"] for t in spec["added_tokens"])
+        if not good or any(t["content"][:2] != "<|" for t in spec["added_tokens"]):
+            raise ValueError("not a lower-casing byte-level BPE file whose pattern removes what it doesn't match")
+        return cuts[0]["pattern"]["Regex"]
+
     # one stretch of symbols
 
     def merge(self, ids: list[int]) -> list[int]:
@@ -163,7 +178,7 @@ class WordBPE:
             if self._split is None:
                 import regex
 
-                self._split = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+                self._split = regex.compile(self.pattern)
             return self._split.findall(unicodedata.normalize("NFC", chunk).lower())
         pieces = self.tok.pre_tokenizer.pre_tokenize_str(self.tok.normalizer.normalize_str(chunk))
         back = {c: b for b, c in enumerate(self.bytes)}

@@ -2,7 +2,7 @@
 
 Fixed masks pick some words of a window and ignore the others, so a substituted word in an ignored place does not hide a match. Hashes
 of all masked windows of the benchmark are joined with those of the training texts; around each hit, text and item are aligned
-and compared word by word. An alignment counts if some window of ``window`` aligned words (the whole item if it is shorter) agrees in
+and compared word by word, by 64-bit hashes of the words. An alignment counts if some window of ``window`` aligned words (the whole item if it is shorter) agrees in
 at least ``share`` of its words.
 
 Items of five to seven words also have masks that ignore one of their words, and shorter ones are looked up as phrases, so items of all lengths are
@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from genoloom.llm import words as W
-from genoloom.llm.common import small_batches, stored, table
+from genoloom.llm.common import fresh, small_batches, stored, table
 
 #: Places of a window that each mask looks at.
 MASKS = ((0, 1, 2, 3, 4), (0, 1, 3, 5, 6), (0, 2, 3, 6, 7), (0, 1, 4, 6, 8))
@@ -213,8 +213,9 @@ def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
 
 def drop_leaks(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
     """The rows of docs whose doc_id holds no benchmark item; null ids are kept."""
-    leaked = find_leaks(docs, items, **options).select(F.col("doc_id").alias("__leaked")).distinct()
-    return docs.join(leaked, F.col("doc_id") == F.col("__leaked"), "left_anti")
+    name = fresh(docs, "leaked")
+    leaked = find_leaks(docs, items, **options).select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(leaked, F.col(options.get("id_col", "doc_id")) == F.col(name), "left_anti")
 
 
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

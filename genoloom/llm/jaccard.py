@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from genoloom.llm import words as W
-from genoloom.llm.common import small_batches, stored, table
+from genoloom.llm.common import fresh, small_batches, stored, table
 from genoloom.llm.components import components
 from genoloom.llm.packing import planes, unplanes
 
@@ -33,7 +33,7 @@ HOT_SHARE, HOT_MEMBERS = 0.001, 1 << 17
 #: Members of least hash by which near copies meet two nodes of their group.
 STAR_MEMBERS = 4
 #: Nodes of a class in a group of candidates from which on it has blocks of its own; nodes and members of a block of candidates.
-PURE, BLOCK_NODES, BLOCK_MEMBERS = 64, (256, 2048), 1 << 20
+PURE, BLOCK_NODES, BLOCK_MEMBERS = 64, (512, 2048), 1 << 22
 #: Nodes of one tile; larger meetings are cut into blocks, each pair of blocks a tile.
 TILE = 2048
 #: Powers of two between which the filters of nodes and members stay, 16 bits an entry. They only save shuffling; joins decide.
@@ -589,8 +589,9 @@ def _unpack(batches):
 def keep_first(docs: DataFrame, **options) -> DataFrame:
     """One row of docs per class: the one with the smallest doc_id. Documents with an empty set all stay; of rows that repeat a doc_id and text, one stays."""
     found = join(docs, **options)
-    drop = found.filter("component_id <> doc_id").select(F.col("doc_id").alias("__copy")).distinct()
-    kept = docs.join(drop, F.col("doc_id") == F.col("__copy"), "left_anti")
+    copy = fresh(docs, "copy")
+    drop = found.filter("component_id <> doc_id").select(F.col("doc_id").alias(copy)).distinct()
+    kept = docs.join(drop, F.col("doc_id") == F.col(copy), "left_anti")
     if docs.groupBy("doc_id").count().filter("count > 1").isEmpty():
         return kept
     return kept.dropDuplicates(["doc_id", "text"])

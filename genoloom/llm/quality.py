@@ -193,15 +193,15 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     return score(stats, fit(stats, labels, **options), threshold)
 
 
-def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, **options) -> DataFrame:
+def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.3, **options) -> DataFrame:
     """The rows of docs, all columns, that the classifier scores at threshold or more. Texts are never shuffled."""
-    stats = stored(document_statistics(docs), "statistics")
+    stats = stored(document_statistics(docs, id_col, text_col), "statistics")
     shared = docs.sparkSession.sparkContext.broadcast(fit(stats, labels, **options))
     small_batches(docs.sparkSession)
 
     def run(batches):
         for b in batches:
-            s = np.array([statistics(t) for t in b["text"].to_pylist()]).reshape(-1, len(STATS))
+            s = np.array([statistics(t) for t in b[text_col].to_pylist()]).reshape(-1, len(STATS))
             yield b.filter(pa.array(shared.value.score(s) >= threshold))
 
     return docs.mapInArrow(run, docs.schema)

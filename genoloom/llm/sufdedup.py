@@ -115,7 +115,7 @@ def _runs(buckets: int, length: int):
             yield packed(some, int(int(some["gram"][0]) % buckets), True)
 
     def flush(held: list[dict[str, np.ndarray]], copies: list[dict[str, np.ndarray]], raw: bytes):
-        if held:
+        if any(len(h["doc"]) for h in held):
             v = {k: np.concatenate([h[k] for h in held]) for k in (*_KINDS, "place")}
             order = np.lexsort((v["at"], v["part"], v["doc"], v["stretch"], v["gram"]))
             v = {k: x[order] for k, x in v.items()}

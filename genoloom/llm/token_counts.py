@@ -1,6 +1,6 @@
 """Operator 8: edit-aware token counting.
 
-Each document keeps its pre-tokens in leaf blocks under a segment tree of character and token sums. An edit finds its blocks by
+Each document keeps its pre-tokens in leaf blocks of bounded size under a segment tree of character and token sums. An edit finds its blocks by
 descending the character sums, re-splits and re-encodes from the last pre-token that the edit cannot reach up to the first old boundary
 that the new text meets again, and updates the sums above.
 
@@ -20,7 +20,7 @@ from itertools import accumulate
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from genoloom.llm.common import map_texts, table
+from genoloom.llm.common import fresh, map_texts, table
 
 #: Pre-tokens of a leaf block; entries of the count cache. A full cache stays until eight times as many pieces were missed, and is then emptied.
 BLOCK, CACHE = 128, 600_000
@@ -75,19 +75,22 @@ class TokenTree:
     def __init__(self, text: str, counter: Counter):
         self.counter, self.text = counter, text
         pieces = counter.split(text)
-        self.blocks = [pieces[i : i + BLOCK] for i in range(0, len(pieces), BLOCK)] or [[]]
-        self.size = 1 << (len(self.blocks) - 1).bit_length()
-        self.chars, self.tokens = [0] * (2 * self.size), [0] * (2 * self.size)
-        for i, block in enumerate(self.blocks):
-            self._sum(i, block)
+        self.encoded = 0
+        self._build([(x, *self._sums(x)) for x in (pieces[i : i + BLOCK] for i in range(0, len(pieces), BLOCK))])
+
+    def _sums(self, block: list[str]) -> tuple[int, int]:
+        return sum(map(len, block)), sum(map(self.counter.count, block))
+
+    def _build(self, leaves: list[tuple[list[str], int, int]]) -> None:
+        """The tree over blocks with their characters and tokens."""
+        leaves = leaves or [([], 0, 0)]
+        self.blocks = [x[0] for x in leaves]
+        self.size = 1 << (len(leaves) - 1).bit_length()
+        none = [0] * (self.size - len(leaves))
+        self.chars, self.tokens = [0] * self.size + [x[1] for x in leaves] + none, [0] * self.size + [x[2] for x in leaves] + none
         for i in range(self.size - 1, 0, -1):
             self.chars[i] = self.chars[2 * i] + self.chars[2 * i + 1]
             self.tokens[i] = self.tokens[2 * i] + self.tokens[2 * i + 1]
-        self.encoded = 0
-
-    def _sum(self, i: int, block: list[str]) -> None:
-        self.chars[self.size + i] = sum(map(len, block))
-        self.tokens[self.size + i] = sum(map(self.counter.count, block))
 
     @property
     def n_tokens(self) -> int:
@@ -95,8 +98,8 @@ class TokenTree:
 
     def _put(self, i: int, block: list[str]) -> None:
         self.blocks[i] = block
-        self._sum(i, block)
         i += self.size
+        self.chars[i], self.tokens[i] = self._sums(block)
         while i > 1:
             i //= 2
             self.chars[i] = self.chars[2 * i] + self.chars[2 * i + 1]
@@ -154,7 +157,16 @@ class TokenTree:
         for i in range(first + 1, upto):
             if self.blocks[i]:
                 self._put(i, [])
-        self._put(first, head + new + tail)
+        block = head + new + tail
+        if len(block) <= 2 * BLOCK:
+            self._put(first, block)
+            if not self.chars[1]:
+                self._build([])
+            return
+        # a long insertion: its blocks get places of their own, and the tree is built over the sums that are there
+        parts = [block[i : i + BLOCK] for i in range(0, len(block), BLOCK)]
+        old = [(x, self.chars[self.size + i], self.tokens[self.size + i]) for i, x in enumerate(self.blocks)]
+        self._build([x for x in [*old[:first], *((p, *self._sums(p)) for p in parts), *old[first + 1 :]] if x[0]])
 
 
 def recount(text: str | None, edits: list[dict] | None, counter: Counter) -> tuple[int, int, int, int, int]:
@@ -180,11 +192,14 @@ def count_tokens(docs: DataFrame, edits_col: str, id_col: str = "doc_id", text_c
     return map_texts(docs, {"doc_id": id_col, "text": text_col, "edits": edits_col}, f"doc_id {kind}, n_chars bigint, n_tokens bigint, edited_chars bigint, edited_tokens bigint, n_reencoded bigint", rows)
 
 
-def with_edits(docs: DataFrame, edits: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """docs with a column edits gathered from an edits table (doc_id, seq, start, deleted, inserted), in the order of seq."""
-    per = edits.groupBy(F.col("doc_id").alias("__edit_id")).agg(F.array_sort(F.collect_list(F.struct("seq", "start", "deleted", "inserted"))).alias("__edits"))
-    per = per.withColumn("__edits", F.transform("__edits", lambda e: F.struct(e["start"].alias("start"), e["deleted"].alias("deleted"), e["inserted"].alias("inserted"))))
-    return docs.join(per, F.col(id_col).eqNullSafe(F.col("__edit_id")), "left").drop("__edit_id")
+def with_edits(docs: DataFrame, edits: DataFrame, id_col: str = "doc_id", edits_col: str = "edits") -> DataFrame:
+    """docs with a column edits_col gathered from an edits table (doc_id, seq, start, deleted, inserted), in the order of seq; docs must not have that column."""
+    if edits_col.lower() in {c.lower() for c in docs.columns}:
+        raise ValueError(f"docs has a column {edits_col}")
+    key = fresh(docs, "edit_id")
+    per = edits.groupBy(F.col("doc_id").alias(key)).agg(F.array_sort(F.collect_list(F.struct("seq", "start", "deleted", "inserted"))).alias(edits_col))
+    per = per.withColumn(edits_col, F.transform(edits_col, lambda e: F.struct(e["start"].alias("start"), e["deleted"].alias("deleted"), e["inserted"].alias("inserted"))))
+    return docs.join(per, F.col(id_col).eqNullSafe(F.col(key)), "left").drop(key)
 
 
 def rule_edits(text: F.Column) -> F.Column:
@@ -196,4 +211,4 @@ def rule_edits(text: F.Column) -> F.Column:
 
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return count_tokens(docs.withColumn("__edits", rule_edits(F.col("text"))), "__edits")
+    return count_tokens(docs.select("doc_id", "text", rule_edits(F.col("text")).alias("edits")), "edits")

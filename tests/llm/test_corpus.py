@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 import zlib
 from itertools import combinations
 
@@ -49,9 +50,95 @@ def test_short_items_are_found_with_every_allowed_substitution(spark):
     assert [r.at_word for r in got if r.doc_id == rows[-1][0]] == [7]
 
 
+def leaks(rows, items, window=13, share=0.8):
+    """Plain decontamination: every item against every place of every text, word by word."""
+    cut = lambda t: re.findall(rb"[0-9A-Za-z\x80-\xff]+", (t or "").lower().encode())
+    found = {}
+    for i, text in rows:
+        w = cut(text)
+        for k, item in items:
+            x = cut(item)
+            n = min(window, len(x))
+            best = None
+            for d in range(-len(x) + n, len(w) - n + 1) if n else ():
+                lo, hi = max(d, 0), min(d + len(x), len(w))
+                same = [w[p] == x[p - d] for p in range(lo, hi)]
+                for p in range(len(same) - n + 1):
+                    s = sum(same[p : p + n])
+                    if s >= share * n and (best is None or (s / n, -(lo + p)) > best[0]):
+                        best = ((s / n, -(lo + p)), s, n, lo + p)
+            if best and (i, k) not in found:
+                found[i, k] = (best[0][0], *best[1:])
+    return found
+
+
+def test_leaks_equal_brute_force(spark, docs):
+    """Mutated, cut and shifted items in texts, items of all lengths, repeated places that tie, repeated rows, null ids and texts."""
+    rnd = random.Random(12)
+    items = [(k, prose(rnd, rnd.choice([1, 2, 4, 6, 9, 13, 20, 40]))) for k in range(25)] + [(50, None), (51, "")]
+    rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").dropDuplicates(["doc_id"]).collect() if len(r.text or "") < 4000]
+    for n in range(120):
+        w = rnd.choice(items[:25])[1].split()
+        a = rnd.randrange(max(len(w) - 12, 1))
+        w = [x if rnd.random() > 0.12 else "swapped" for x in w[a : a + rnd.choice([13, 25, 60])]]
+        rows.append((3000 + n, prose(rnd, rnd.randrange(30)) + " " + " ".join(w) + " " + prose(rnd, rnd.randrange(30)) + (" " + " ".join(w) if n % 9 == 0 else "")))
+    d = spark.createDataFrame([*rows, rows[-1], (None, items[5][1] + " " + items[20][1])], "doc_id long, text string").repartition(3)
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    want = leaks([*rows, (None, items[5][1] + " " + items[20][1])], items)
+    got = decontam.find_leaks(d, bench).collect()
+    assert {(r.doc_id, r.item_id): (r.similarity, r.n_same, r.n_words, r.at_word) for r in got} == want and len(got) == len(want) > 60
+    kept = decontam.drop_leaks(d.withColumn("leaked", F.lit(1)), bench)
+    assert kept.columns == ["doc_id", "text", "leaked"]
+    assert {r.doc_id for r in kept.collect()} == ({i for i, _ in rows} | {None}) - {i for i, _ in want if i is not None}
+
+
 # 3
 
 
+def scores(texts, labels, n_features, folds=5, ridge=1e-3, bins=2048):
+    """Plain quality scores: one matrix, one system of equations a fold, one isotonic fit by minimax over blocks."""
+    x = np.array([quality.statistics(t) for t in texts.values()])
+    omega, phase = quality.draw_features(n_features, 4.0, 7)
+    z = np.hstack([np.ones((len(x), 1)), np.cos(np.clip((x - x.mean(0)) / np.where(x.std(0) > 0, x.std(0), 1), -4, 4) @ omega + phase) * (2 / n_features) ** 0.5])
+    at = {i: n for n, i in enumerate(texts)}
+    fold = {i: zlib.crc32(str(i).encode()) % folds for i in texts}
+    use = [i for i in labels if i in at and fold[i]]
+    eye = np.diag([0.0] + [1.0] * n_features)
+
+    def solve(ids):
+        a, b = z[[at[i] for i in ids]], np.array([labels[i] for i in ids], float)
+        return np.linalg.lstsq(a.T @ a + ridge * len(ids) * eye, a.T @ b, rcond=None)[0]
+
+    raw = {i: z[at[i]] @ w for k in range(1, folds) for w in [solve([j for j in use if fold[j] != k])] for i in use if fold[i] == k}
+    points: dict[int, list] = {}
+    for i in use:
+        points.setdefault(int(np.clip((raw[i] + 1) / 3 * bins, 0, bins - 1)), []).append(labels[i])
+    b = sorted(points)
+    n, total = np.array([len(points[k]) for k in b]), np.array([sum(points[k]) for k in b], float)
+    mean = lambda i, j: total[i : j + 1].sum() / n[i : j + 1].sum()
+    level = [max(min(mean(i, j) for j in range(k, len(b))) for i in range(k + 1)) for k in range(len(b))]
+    groups: dict[float, list] = {}
+    for k, v in enumerate(level):
+        groups.setdefault(round(v, 12), []).append(k)
+    xs = [sum((b[k] + 0.5) / bins * 3 * n[k] - n[k] for k in g) / n[g].sum() for g in groups.values()]
+    final = solve(use)
+    return {i: float(np.clip(np.interp(z[at[i]] @ final, xs, list(groups)), 0, 1)) for i in texts}
+
+
+def test_quality_equals_plain_algebra(spark):
+    rnd = random.Random(16)
+    noisy = lambda n: " ".join(w + rnd.choice(["###", "", "$$$"]) for w in prose(rnd, n).split())
+    texts = {i: (prose if i % 3 else noisy)(*([rnd] if i % 3 else []), rnd.randint(20, 150)) for i in range(240)} | {9000: "", 9001: None}
+    labels = {i: int(bool(i % 3) ^ (rnd.random() < 0.1)) for i in range(200)}
+    d = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
+    got = quality.classify(d, spark.createDataFrame(list(labels.items()), "doc_id long, quality int"), n_features=32).collect()
+    want = scores(texts, labels, 32)
+    assert len(got) == len(texts) and max(abs(r.score - want[r.doc_id]) for r in got) < 1e-6
+    named = d.select(F.col("text").alias("body"), F.col("doc_id").alias("key"), F.lit(0).alias("text"))
+    kept = quality.keep_good(named, spark.createDataFrame(list(labels.items()), "doc_id long, quality int"), id_col="key", text_col="body", n_features=32)
+    assert kept.columns == named.columns and {r.key for r in kept.collect()} == {r.doc_id for r in got if r.predicted}
+
+
 def test_quality(spark, docs, none):
     rnd = random.Random(6)
     good = [prose(rnd, rnd.randint(30, 200)) for _ in range(300)]
@@ -168,7 +255,6 @@ def test_loser_trees():
 def classes(rows, k, percent):
     sets, parent = {}, {}
     low = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
-    import re
 
     for i, t in rows:
         w = re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(low))

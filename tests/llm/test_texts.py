@@ -1,6 +1,7 @@
 """Operators that work row by row: secrets, tokens, counts, rules, shards."""
 
 import hashlib
+import json
 import random
 import re
 import string
@@ -13,6 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from genoloom.llm import bpe, rules, secrets, sharding, token_counts
+from tests.llm.conftest import prose
 
 # 1
 
@@ -169,16 +171,41 @@ def test_counts_follow_edits(texts):
             assert tree.n_tokens == full(tree.text) and sum(tree.blocks, []) == c.split(tree.text)
 
 
+def test_blocks_stay_small():
+    rnd = random.Random(5)
+    c = token_counts.load(token_counts.default_path())
+    tree = token_counts.TokenTree(prose(rnd, 500), c)
+    tree.edit(700, 3, prose(rnd, 40_000))
+    assert max(map(len, tree.blocks)) <= 2 * token_counts.BLOCK and sum(tree.blocks, []) == c.split(tree.text)
+    before = tree.encoded
+    tree.edit(90_000, 5, "a change")
+    assert tree.encoded - before < 20 and tree.n_tokens == len(c.encoding.encode_ordinary(tree.text))
+    tree.edit(0, 10**9, "")
+    assert tree.n_tokens == 0
+    tree.edit(0, 0, "new text")
+    assert tree.n_tokens == len(c.encoding.encode_ordinary("new text"))
+
+
+def test_other_tokenizer_files_are_errors(tmp_path):
+    spec = json.load(open(bpe.default_path(), encoding="utf-8"))
+    for change in (lambda d: d["normalizer"]["normalizers"].pop(), lambda d: d["model"].update(byte_fallback=True), lambda d: d.update(pre_tokenizer=None), lambda d: d["pre_tokenizer"]["pretokenizers"][0].update(invert=False)):
+        other = json.loads(json.dumps({**spec, "model": {**spec["model"], "vocab": {}, "merges": []}}))
+        change(other)
+        (tmp_path / "t.json").write_text(json.dumps(other))
+        with pytest.raises(ValueError, match="byte-level"):
+            bpe.WordBPE(str(tmp_path / "t.json"))
+
+
 def test_edits_table(spark, docs, none):
     edits = spark.createDataFrame([(0, 1, 5, 2, "zz"), (0, 0, 0, 0, "start "), (3, 0, 10**6, 5, "end"), (7, 0, None, None, None)], "doc_id long, seq int, start long, deleted long, inserted string")
-    got = {r.doc_id: r for r in token_counts.count_tokens(token_counts.with_edits(docs, edits), "__edits").collect()}
+    got = {r.doc_id: r for r in token_counts.count_tokens(token_counts.with_edits(docs, edits), "edits").collect()}
     c = token_counts.load(token_counts.default_path())
     text = {r.doc_id: r.text or "" for r in docs.collect()}
     after = dict(text) | {0: (lambda t: t[:5] + "zz" + t[7:])("start " + text[0]), 3: text[3] + "end"}
     for i, r in got.items():
         assert (r.n_chars, r.n_tokens, r.edited_chars, r.edited_tokens) == (len(text[i]), len(c.encoding.encode_ordinary(text[i])), len(after[i]), len(c.encoding.encode_ordinary(after[i])))
     assert max(r.n_reencoded for r in got.values()) < 20
-    assert token_counts.count_tokens(token_counts.with_edits(none, edits), "__edits").count() == 0
+    assert token_counts.count_tokens(token_counts.with_edits(none, edits), "edits").count() == 0
 
 
 # 9
