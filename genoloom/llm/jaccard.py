@@ -33,7 +33,7 @@ HOT_SHARE, HOT_MEMBERS = 0.001, 1 << 17
 #: Members of least hash by which near copies meet two nodes of their group.
 STAR_MEMBERS = 4
 #: Nodes of a class in a group of candidates from which on it has blocks of its own; nodes and members of a block of candidates.
-PURE, BLOCK_NODES, BLOCK_MEMBERS = 64, (512, 2048), 1 << 22
+PURE, BLOCK_NODES, BLOCK_MEMBERS = 64, (512, 2048), 1 << 20
 #: Nodes of one tile; larger meetings are cut into blocks, each pair of blocks a tile.
 TILE = 2048
 #: Powers of two between which the filters of nodes and members stay, 16 bits an entry. They only save shuffling; joins decide.
@@ -535,7 +535,8 @@ def _group_links(rows: DataFrame, members: DataFrame, percent: int) -> DataFrame
     """Links (a, b) between classes of the nodes of a group, from tiles that hold whole member arrays: fewer than a tile's rows."""
 
     def solve(t: pa.Table) -> pa.Table:
-        sets = [np.frombuffer(m, np.uint64) for m in t["members"].to_pylist()]
+        data, offsets = W.raw_bytes(t["members"])
+        sets = [data[a:b].view(np.uint64) for a, b in zip(offsets[:-1], offsets[1:])]
         found = spanning_links(t["node"].to_pylist(), t["component"].to_pylist(), t["side"].to_pylist(), sets, percent)
         return pa.table({"a": pa.array([x[0] for x in found], pa.int64()), "b": pa.array([x[1] for x in found], pa.int64())})
 
