@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from genoloom.sources.reference import CHUNK, extract
+from genoloom.storage import stored
 
 
 def walk(start: int, ref: str, alt: str, before: str) -> tuple[int, str, str, bool]:
@@ -51,7 +52,7 @@ def left_align(variants: DataFrame, chunks: DataFrame, window: int = 256, size:
     done = None
     while True:
         back = extract(v.select("row_id", "chrom", F.greatest(F.col("start") - window, F.lit(0)).alias("start"), F.col("start").alias("end")), chunks, size).select("row_id", F.col("seq").alias("before"))
-        step = v.join(back, "row_id").withColumn("m", moved("start", "ref", "alt", "before")).select("row_id", "chrom", "m.*")
+        step = stored(v.join(back, "row_id").withColumn("m", moved("start", "ref", "alt", "before")).select("row_id", "chrom", "m.*"), "aligned")  # each turn is planned and run once
         rest = step.filter("more")
         out = step.filter("not more").drop("more")
         done = out if done is None else done.unionByName(out)
