@@ -446,9 +446,6 @@ def _blocks(rows: DataFrame) -> DataFrame:
     rows: (node, component, n, grp). A class of more than PURE nodes in its group has blocks of its own, which never meet each other;
     the smaller classes of a group share mixed blocks, which meet all blocks of the group and themselves.
     """
-    # small groups go to many tasks, large ones are copied to few blocks
-    nodes = F.greatest(F.lit(BLOCK_NODES[0]), F.least(F.lit(BLOCK_NODES[1]), F.col("cnt") / 8))
-    parts = F.greatest(F.ceil(F.col("cnt") / nodes), F.ceil(F.col("members") / BLOCK_MEMBERS), F.lit(1)).cast("int")
     classes = rows.groupBy("grp", "component").agg(F.count("*").alias("cnt"), F.sum("n").alias("members"))
     classes = classes.withColumn("own", F.when(F.col("cnt") > PURE, F.col("component")).otherwise(F.lit(-1)))  # whose blocks: -1 is for the mixed ones
     # small groups go to many tasks, large ones are copied to few blocks
