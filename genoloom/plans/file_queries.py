@@ -11,8 +11,8 @@ from genoloom.operators import compare, gene, left_align
 from genoloom.plans import annotate as plan
 from genoloom.plans import demo, index
 from genoloom.plans.queries import SHIFT, _VCF, _tx, query
-from genoloom.sources import cadd, readers, reference
-from genoloom.storage import publish_lines, scratch_folder
+from genoloom.sources import blocks, cadd, readers, reference
+from genoloom.storage import file_system, publish_lines, qualified, scratch_folder
 from genoloom.streaming.intake import annotate_stream
 
 _TEXT = "CASE WHEN {0}='' THEN '-' ELSE {0} END"
@@ -106,12 +106,23 @@ def read_transcript_fasta(spark, sf):
     return readers.read_fasta(spark, _file(spark, s.select("ord", F.concat(F.lit(">"), "id", F.lit(" note\n"), F.lower(F.substr("seq", F.lit(1), F.lit(60))), F.lit("\n"), F.substr("seq", F.lit(61))).alias("value")), name="x.fa"))
 
 
-@query("SELECT CAST(p_partkey//10 AS BIGINT) AS chunk, '1' AS chrom, string_agg(repeat(substr('ACGT',CAST(p_partkey%4+1 AS INT),1),50), '' ORDER BY p_partkey) AS seq, any_value(n) AS length FROM part, (SELECT count(*)*50 AS n FROM part) GROUP BY p_partkey//10")
+_GENOME = "SELECT CAST(p_partkey//10 AS BIGINT) AS chunk, '1' AS chrom, string_agg(repeat(substr('ACGT',CAST(p_partkey%4+1 AS INT),1),50), '' ORDER BY p_partkey) AS seq, any_value(n) AS length FROM part, (SELECT count(*)*50 AS n FROM part) GROUP BY p_partkey//10"
+
+
+@query(_GENOME)
 def read_genome_fasta(spark, sf):
     rows = demo.genome(spark, sf).select(F.col("chunk").alias("ord"), F.col("seq").alias("value"))
     return reference.read_genome(spark, _file(spark, rows, [">chr1 made"], "g.fa"), 500).select("chunk", "chrom", "seq", "length")
 
 
+@query(_GENOME)
+def read_genome_index(spark, sf):
+    g = demo.genome(spark, sf)
+    path = _file(spark, g.select(F.col("chunk").alias("ord"), F.col("seq").alias("value")), [">chr1 made"], "g.fa")
+    publish_lines(g.agg(F.concat_ws("\t", F.lit("chr1"), F.sum(F.length("seq")), F.lit(11), F.lit(500), F.lit(501)).alias("value"), F.lit(0).alias("ord")), f"{path}.fai", [], "ord")
+    return reference.read_genome(spark, path, 500).select("chunk", "chrom", "seq", "length")
+
+
 _NATIVE = ["##CADD GRCh38-v1.7 (c) none", cadd.HEADER]
 
 
@@ -129,6 +140,17 @@ def read_native_scores(spark, sf):
     return t.select("chrom", "pos", "ref", "alt", "raw", "phred", F.lit(build).alias("build"), F.lit(version).alias("version"))
 
 
+@query(_SCORES + " SELECT chrom, pos, ref, alt, raw, phred FROM c")
+def read_blocked_scores(spark, sf):
+    plain = _score_file(spark, sf)
+    source, (fs, p) = blocks.FileRanges(qualified(spark, plain)), file_system(spark, f"{plain}.gz")
+    out = fs.create(p, True)
+    for a in range(0, source.size + 1, 60_000):  # the made file, block by block; the last one may be empty
+        out.write(bytearray(blocks.block(source.read(a, a + 60_000))))
+    out.close()
+    return cadd.read_scores(spark, f"{plain}.gz", "hg38")[0].select("chrom", "pos", "ref", "alt", "raw", "phred")
+
+
 @query(_SCORES + " SELECT chrom, pos, ref, alt, raw, phred FROM c")
 def score_store(spark, sf):
     path = scratch_folder(spark, "scores")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from genoloom.functions.alleles import chrom
 from genoloom.operators.scores import check_scores
-from genoloom.sources.readers import lines
+from genoloom.sources.blocks import REMOTE, text_lines
 from genoloom.storage import file_system
 
 #: Column names of a native score file (fixed values), and the builds its version line names.
@@ -29,9 +29,9 @@ def metadata(head: list[str]) -> tuple[str, str]:
 
 
 def read_scores(spark: SparkSession, path: str, build: str | None = None) -> tuple[DataFrame, str, str]:
-    """Scores (chrom, pos, ref, alt, raw, phred) of a native file with its build and version. Block-gzipped files read as gzip."""
-    raw = lines(spark, path)
-    found, version = metadata([r.value for r in raw.filter("line_no <= 100").orderBy("line_no").collect()])
+    """Scores (chrom, pos, ref, alt, raw, phred) of a native file with its build and version. Block-gzipped and remote files are read in byte ranges."""
+    raw, head = text_lines(spark, path)
+    found, version = metadata(head)
     if build and build != found:
         raise ValueError(f"the score file is for {found}")
     rows = raw.filter(~F.col("value").startswith("#")).withColumn("p", F.split("value", "\t"))
@@ -54,6 +54,8 @@ def store_scores(spark: SparkSession, source: str, path: str, build: str | None
 
 
 def is_store(spark: SparkSession, path: str) -> bool:
+    if path.startswith(REMOTE):
+        return False
     fs, p = file_system(spark, f"{path}/manifest.json")
     return fs.exists(p)
 
@@ -70,7 +72,7 @@ def open_scores(spark: SparkSession, path: str, build: str | None = None) -> tup
 
 def import_table(spark: SparkSession, path: str) -> DataFrame:
     """Filter-table rows of a score table whose columns are found by name; malformed scores and empty tables are errors."""
-    raw = lines(spark, path)
+    raw = text_lines(spark, path)[0]
     head = raw.filter(F.col("value").startswith("#") & ~F.col("value").startswith("##")).orderBy("line_no").limit(1).collect()
     if not head:
         raise ValueError("the score table has no header")

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from genoloom.functions.alleles import chrom
-from genoloom.sources.readers import read_fasta
+from genoloom.sources.blocks import KNOWN, FileRanges
+from genoloom.sources.readers import fail, number, read_fasta
+from genoloom.storage import file_system, qualified
 
-CHUNK = 1 << 16
+#: Bases of a chunk, and those that one task reads by an index.
+CHUNK, TASK_BASES = 1 << 16, 32 << 20
 
 
 def chunked(sequences: DataFrame, size: int = CHUNK) -> DataFrame:
@@ -19,7 +23,46 @@ def chunked(sequences: DataFrame, size: int = CHUNK) -> DataFrame:
 
 
 def read_genome(spark: SparkSession, path: str, size: int = CHUNK) -> DataFrame:
-    return chunked(read_fasta(spark, path), size)
+    """The chunks of a FASTA file: by byte ranges if it has an index, ``<path>.fai``, else with a whole record a row."""
+    uri = qualified(spark, path)
+    fs, p = file_system(spark, f"{path}.fai")
+    return indexed_genome(spark, path, size) if uri.startswith(KNOWN) and not path.endswith(".gz") and fs.exists(p) else chunked(read_fasta(spark, path), size)
+
+
+def indexed_genome(spark: SparkSession, path: str, size: int = CHUNK) -> DataFrame:
+    """Chunks as of chunked(), each read from its own byte range, which the index (name, bases, place, bases a line, bytes a line) gives.
+
+    Malformed entries, two names of one chromosome, and ranges that don't hold as many bases as the index says are errors when the query runs. Chunks are dealt in the
+    file's order to tasks of about 32 MB. An empty index gives no chunks.
+    """
+    uri, line = qualified(spark, path), F.monotonically_increasing_id() + 1
+    p = F.split("value", "\t")
+    entries = spark.read.text(f"{path}.fai").filter("trim(value) <> ''").select(line.alias("line"), F.get(p, F.lit(0)).alias("id"), *[number(F.get(p, F.lit(i)), n, F.col("line")).alias(n) for i, n in ((1, "length"), (2, "place"), (3, "bases"), (4, "bytes"))])
+    ok = (F.col("id") != "") & ((F.col("bases") > 0) | (F.col("length") == 0)) & (F.col("bytes") >= F.col("bases"))
+    entries = entries.withColumn("id", F.when(ok, F.col("id")).otherwise(fail("invalid index entry", F.col("line")))).withColumn("chrom", chrom(F.col("id")))
+    twice = entries.groupBy("chrom").count().filter("count > 1").orderBy("chrom").first()  # a row a chromosome
+    if twice:
+        raise ValueError(f"the reference index names {twice.chrom} twice")
+    at = F.sequence(F.lit(0).cast("long"), F.greatest(F.ceil(F.col("length") / size), F.lit(1)).cast("long") - 1)
+    chunks = entries.select("chrom", F.explode(at).alias("chunk"), "length", "place", "bases", "bytes")
+    total = entries.agg(F.sum("length")).first()[0] or 0
+
+    def run(batches):
+        source = FileRanges(uri)
+        for b in batches:
+            seqs = []
+            for name, chunk, length, place, bases, width in zip(*[c.to_pylist() for c in b.columns]):
+                a, z = chunk * size, min((chunk + 1) * size, length)
+                where = lambda i: place + (i // bases * width + i % bases if bases else 0)  # noqa: B023, E731
+                data = source.read(where(a), where(z - 1) + 1) if z > a else b""
+                seq = b"".join(data.split())
+                if len(seq) != z - a or b">" in seq:
+                    raise ValueError(f"the index does not fit the reference at {name}:{a}")
+                seqs.append(seq.decode().upper())
+            yield pa.RecordBatch.from_arrays([b["chrom"], b["chunk"], pa.array(seqs, pa.string()), b["length"]], names=["chrom", "chunk", "seq", "length"])
+
+    dealt = chunks.repartitionByRange(int(total // TASK_BASES + 1), "place", "chunk")
+    return dealt.mapInArrow(run, "chrom string, chunk bigint, seq string, length bigint")
 
 
 def extract(ranges: DataFrame, chunks: DataFrame, size: int = CHUNK) -> DataFrame:

@@ -28,6 +28,13 @@ def file_system(spark: SparkSession, path: str):
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """path as a URI with its scheme, the one of Spark's default file system if it has none; local files as file:///."""
+    fs, p = file_system(spark, path)
+    uri = fs.makeQualified(p).toString()
+    return "file://" + uri.removeprefix("file:") if uri.startswith("file:/") and not uri.startswith("file://") else uri
+
+
 def scratch_folder(spark: SparkSession, name: str) -> str:
     """A new folder under the shared one, removed when the application ends."""
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"

@@ -196,3 +196,69 @@ def test_many_alternates(spark, lines):
     alts = ",".join("ACGT"[i % 4] * (i // 4 + 2) for i in range(1100))
     v = readers.parse_vcf(lines(f"1|10|.|A|{alts}|.|.|.", "1|11|.|A|C|.|.|."))
     assert v.count() == 1101 == v.select("row_id").distinct().count()
+
+
+def blocked(text: bytes, size: int) -> bytes:
+    from genoloom.sources.blocks import block
+
+    return b"".join(block(text[i : i + size]) for i in range(0, len(text), size)) + block(b"")
+
+
+@pytest.mark.parametrize("size, step", [(7, 40), (50, 64), (1000, 1 << 20), (64, 1)])
+def test_block_ranges_hold_each_line_once(tmp_path, size, step):
+    """Lines that end with blocks, span several ranges, are empty, or lack a last break."""
+    from genoloom.sources.blocks import FileRanges, range_lines
+
+    for text in (b"", b"\n", b"a" * 500, b"a" * 48 + b"\n\n" + b"b\n" * 90 + b"c" * 300 + b"\nlast", b"0123456789abc\n" * 40):
+        (tmp_path / "x.gz").write_bytes(data := blocked(text, size))
+        source = FileRanges((tmp_path / "x.gz").as_uri())
+        got = [x for a in range(0, len(data), step) for rows in range_lines(source, a, min(a + step, len(data))) for x in rows]
+        assert [x[1] for x in got] == (text.removesuffix(b"\n").split(b"\n") if text else [])
+        assert [x[0] for x in got] == sorted({x[0] for x in got})
+
+
+@pytest.mark.parametrize("name", ["s.tsv", "s.tsv.gz"])
+def test_scores_by_ranges(spark, tmp_path, monkeypatch, name):
+    """Local and remote score files, plain and block-gzipped, give the same rows."""
+    from genoloom.sources import cadd
+
+    body = ("##CADD GRCh38-v1.7 (c) x\n" + cadd.HEADER + "\n" + "".join(f"1\t{i}\tA\tC\t0.5\t{i}.25\n" for i in range(1, 4000))).encode()
+    (tmp_path / name).write_bytes(data := blocked(body, 700) if name.endswith(".gz") else body)
+
+    class Handler(http.server.BaseHTTPRequestHandler):
+        def do_GET(self):
+            a, z = map(int, self.headers["Range"].removeprefix("bytes=").split("-"))
+            self.send_response(206)
+            self.send_header("ETag", "a")
+            self.send_header("Content-Range", f"bytes {a}-{min(z + 1, len(data)) - 1}/{len(data)}")
+            self.send_header("Content-Length", str(len(data[a : z + 1])))
+            self.end_headers()
+            self.wfile.write(data[a : z + 1])
+
+        def log_message(self, *a):
+            pass
+
+    server = http.server.ThreadingHTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    monkeypatch.setattr(cadd, "text_lines", lambda s, p, real=cadd.text_lines: real(s, p, 5000))
+    want = [("1", i, "A", "C", "0.5", f"{i}.25") for i in range(1, 4000)]
+    for path in (str(tmp_path / name), f"http://127.0.0.1:{server.server_port}/{name}"):
+        table, build, version = cadd.open_scores(spark, path, "hg38")
+        assert (build, version) == ("hg38", "1.7")
+        assert sorted(map(tuple, table.collect()), key=lambda r: r[1]) == want
+    server.shutdown()
+
+
+def test_indexed_genome(spark, tmp_path):
+    """An index gives the same chunks as the whole file; entries that don't fit are errors."""
+    from genoloom.sources import reference
+
+    (tmp_path / "g.fa").write_bytes(b">chr1 x\nacgta\ncgtac\nGT\n>2\nTTTT\n>3\n")
+    want = sorted(map(tuple, reference.chunked(readers.read_fasta(spark, str(tmp_path / "g.fa")), 4).collect()))
+    fai = tmp_path / "g.fa.fai"
+    fai.write_text("chr1\t12\t8\t5\t6\n2\t4\t26\t4\t5\n3\t0\t34\t0\t0\n")
+    assert sorted(map(tuple, reference.read_genome(spark, str(tmp_path / "g.fa"), 4).collect())) == want
+    for bad, told in (("chr1\t12\t8\t5\t5\n", "does not fit"), ("2\t40\t26\t4\t5\n", "does not fit"), ("2\tx\t26\t4\t5\n", "invalid length"), ("2\t4\t26\t4\t3\n", "invalid index entry"), ("1\t1\t8\t5\t6\nchr1\t1\t8\t5\t6\n", "twice")):
+        fai.write_text(bad)
+        with pytest.raises(Exception, match=told):
+            reference.read_genome(spark, str(tmp_path / "g.fa"), 4).collect()
