@@ -138,7 +138,7 @@ _CAPTURE = "url_key string, ts string, page_id bigint, archive string, at bigint
 
 
 def merge_index(runs: DataFrame, parts: int | None = None) -> DataFrame:
-    """The captures of all runs in global order of url_key, ts, page_id, as a table in the shared folder: position and the capture's columns.
+    """The captures of all runs in global order of url_key, ts, page_id: position and the capture's columns, of a table of merged ranges in the shared folder.
 
     Splitters come from Spark's range sampling, which holds a fixed number of keys a range. The cuts of a range meet in one task, as runs end to
     end, which merges them by a loser tree without sorting. A hot URL's captures are cut by timestamp and page too. Captures
@@ -206,4 +206,4 @@ def read_archives(index: DataFrame, folder: str) -> DataFrame:
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = scratch(spark, "warc")
     runs = write_archives(table(spark, sf_dir, "pages"), folder)
-    return read_archives(stored(merge_index(runs), "index"), folder)
+    return read_archives(merge_index(runs), folder)
