@@ -20,12 +20,17 @@ def check_scores(scores: DataFrame) -> DataFrame:
     return one.withColumn("raw", F.when(F.coalesce(good, F.lit(False)) & (F.col("n") == 1), F.col("raw")).otherwise(F.raise_error(what))).drop("n")
 
 
-def score_join(variants: DataFrame, scores: DataFrame, prefix: str = "c", missing: str = ".") -> DataFrame:
+def score_join(variants: DataFrame, scores: DataFrame, prefix: str = "c", missing: str = ".", asked: DataFrame | None = None) -> DataFrame:
     """variants with <prefix>_raw, <prefix>_phred and <prefix>_status. Scores are (chrom, pos one-based, ref, alt, raw, phred).
 
-    All rows of a position collapse into one map first, so one join by (chrom, pos) answers both the score and the mismatch.
+    Only scores at positions of SNVs go on: a whole genome's table meets the variants' positions, which Spark broadcasts if they are few, before it is shuffled.
+    All rows of a position then collapse into one, so one join by (chrom, pos) answers both the score and the mismatch. asked: a cheaper table of
+    the same variants to take the positions from, such as the one that earlier joins began with.
     """
-    per = scores.groupBy(F.col("chrom").alias("__c"), F.col("pos").alias("__p")).agg(F.collect_list(F.struct("ref", "alt", "raw", "phred")).alias("__rows"))
+    asked = variants if asked is None else asked
+    wanted = asked.filter(is_snv(*[F.col(c) for c in ("start", "end", "ref", "alt")])).select(F.col("chrom").alias("__c"), F.col("end").alias("__p"))
+    near = scores.join(wanted, (F.col("chrom") == F.col("__c")) & (F.col("pos") == F.col("__p")), "left_semi")
+    per = near.groupBy(F.col("chrom").alias("__c"), F.col("pos").alias("__p")).agg(F.collect_list(F.struct("ref", "alt", "raw", "phred")).alias("__rows"))
     covered = scores.select(F.col("chrom").alias("__covered")).distinct()
     core = [F.col(c) for c in ("start", "end", "ref", "alt")]
     j = variants.withColumn("__snv", is_snv(*core)).withColumn("__shape", snv_shape(*core))

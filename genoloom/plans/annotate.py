@@ -102,7 +102,7 @@ def annotate(variants: DataFrame, protocols: list[Protocol], missing: str = ".",
         elif p.operation == "gene":
             rows = gene.gene_join(rows, p.table, k, shift=p.shift)
         else:
-            rows = scores.score_join(rows, p.table, k, missing)
+            rows = scores.score_join(rows, p.table, k, missing, variants)
         ranges.append((p, [c for c in rows.columns if c.startswith(k)]))
         headers += p.headers()
     check_headers([*CORE, *headers, "AnnotationStatus"], protocols)
