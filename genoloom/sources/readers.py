@@ -70,7 +70,7 @@ def parse_strict_avinput(raw: DataFrame) -> DataFrame:
     """As parse_avinput() under the strict rules, with ``original``, the text of the core fields.
 
     Fields are cut at TABs if a line has one, else at white space. Chromosomes follow strict_chrom(); alleles must be sequences, a reference must span
-    its interval, an insertion has start = end and an alternate; every line has as many extra columns as the first.
+    its interval, an insertion has start = end, which is 0 in front of the first base, and an alternate; every line has as many extra columns as the first.
     """
     line = F.col("line_no")
     rows = _content(raw).withColumn("p", F.when(F.col("value").contains("\t"), F.split("value", "\t")).otherwise(F.split(F.trim("value"), r"\s+")))
@@ -80,8 +80,8 @@ def parse_strict_avinput(raw: DataFrame) -> DataFrame:
     start, end = number(get(1), "start", line), number(get(2), "end", line)
     insertion = get(3) == "-"
     ref, alt = A.allele(get(3)), A.allele(get(4))
-    good = get(3).rlike("^(-|0|[ACGTNacgtn]+)$") & get(4).rlike("^(-|[ACGTNacgtn]+)$") & (start >= 1) & (end >= start)
-    good &= F.when(insertion, (start == end) & (get(4) != "-")).otherwise((get(3) == "0") | (F.length(get(3)) == end - start + 1))
+    good = get(3).rlike("^(-|0|[ACGTNacgtn]+)$") & get(4).rlike("^(-|[ACGTNacgtn]+)$")
+    good &= F.when(insertion, (start == end) & (get(4) != "-")).otherwise((start >= 1) & (end >= start) & ((get(3) == "0") | (F.length(get(3)) == end - start + 1)))
     checked = F.when(good, ref).otherwise(fail("invalid variant", line))
     return rows.select(
         (line - 1).alias("row_id"), A.strict_chrom(get(0)).alias("chrom"), get(0).alias("output_chrom"), F.when(insertion, start).otherwise(start - 1).alias("start"), end.alias("end"),

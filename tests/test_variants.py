@@ -95,3 +95,11 @@ def test_strict_variants(lines):
     for bad in ("1|1|1|A", "1|5|4|A|C", "1|1|2|A|C", "1|1|2|-|C", "1|1|1|-|-", "1|1|1|<X>|C", "1|12A|12|A|C", "1|0|0|A|C", "1|1|1|A|C|extra"):
         with pytest.raises(Exception, match="input line 2"):
             readers.parse_strict_avinput(lines("1|1|1|A|C", bad)).collect()
+
+
+def test_strict_insertions_in_front_of_the_first_base(lines):
+    v = readers.parse_strict_avinput(lines("1|0|0|-|AC", "1|1|1|A|C")).orderBy("row_id").collect()
+    assert [(r.start, r.end, r.ref, r.alt, r.original) for r in v] == [(0, 0, "", "AC", ["1", "0", "0", "-", "AC"]), (0, 1, "A", "C", ["1", "1", "1", "A", "C"])]
+    for bad in ("1|0|0|A|C", "1|0|0|0|C", "1|0|1|AC|-", "1|0|1|-|A"):
+        with pytest.raises(Exception, match="input line 2"):
+            readers.parse_strict_avinput(lines("1|1|1|A|C", bad)).collect()
