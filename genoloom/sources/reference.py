@@ -8,25 +8,67 @@ from pyspark.sql import functions as F
 
 from genoloom.functions.alleles import chrom
 from genoloom.sources.blocks import KNOWN, FileRanges
-from genoloom.sources.readers import fail, number, read_fasta
+from genoloom.sources.readers import fail, number
 from genoloom.storage import file_system, qualified
 
 #: Bases of a chunk, and those that one task reads by an index.
 CHUNK, TASK_BASES = 1 << 16, 32 << 20
 
 
+def _pieces(text, size: int):
+    """text cut into pieces of size characters, in one pass."""
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{size}}}"), F.lit(0))
+
+
 def chunked(sequences: DataFrame, size: int = CHUNK) -> DataFrame:
     """(chrom, chunk, seq, length) of (id, seq): chunk i holds bases from i * size on; length is that of the whole chromosome."""
     n = F.length("seq")
-    at = F.sequence(F.lit(0).cast("long"), F.greatest(F.ceil(n / size), F.lit(1)).cast("long") - 1)
-    return sequences.select(chrom(F.col("id")).alias("chrom"), "seq", n.cast("long").alias("length"), F.explode(at).alias("chunk")).select("chrom", "chunk", F.substr("seq", (F.col("chunk") * size + 1).cast("int"), F.lit(size)).alias("seq"), "length")
+    rows = sequences.select(chrom(F.col("id")).alias("chrom"), n.cast("long").alias("length"), F.posexplode(F.when(n <= size, F.array("seq")).otherwise(_pieces("seq", size))).alias("chunk", "piece"))
+    return rows.select("chrom", F.col("chunk").cast("long").alias("chunk"), F.col("piece").alias("seq"), "length")
 
 
 def read_genome(spark: SparkSession, path: str, size: int = CHUNK) -> DataFrame:
-    """The chunks of a FASTA file: by byte ranges if it has an index, ``<path>.fai``, else with a whole record a row."""
+    """The chunks of a FASTA file: by byte ranges if it has an index, ``<path>.fai``, else put together from its lines."""
     uri = qualified(spark, path)
     fs, p = file_system(spark, f"{path}.fai")
-    return indexed_genome(spark, path, size) if uri.startswith(KNOWN) and not path.endswith(".gz") and fs.exists(p) else chunked(read_fasta(spark, path), size)
+    return indexed_genome(spark, path, size) if uri.startswith(KNOWN) and not path.endswith(".gz") and fs.exists(p) else line_chunks(spark, path, size)
+
+
+def line_chunks(spark: SparkSession, path: str, size: int = CHUNK) -> DataFrame:
+    """Chunks as of chunked() and read_fasta(), from the lines of a FASTA file, so that no row holds more than a line or a chunk.
+
+    A line's record and its place in it come from running sums over its file split and, for what earlier splits hold, from a broadcast table with a row a split.
+    """
+    from pyspark.sql import Window
+
+    split = Window.partitionBy("file", "block").orderBy("mid")
+    so_far = split.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    raw = spark.read.option("lineSep", "\n").text(path).select("value", F.monotonically_increasing_id().alias("mid"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
+    # a file's first line is a header in any case
+    rows = raw.withColumn("head", F.col("value").startswith(">") | ((F.col("block") == 0) & (F.row_number().over(split) == 1)))
+    rows = rows.withColumn("bases", F.when(F.col("head"), "").otherwise(F.upper(F.regexp_replace("value", r"\s+", "")))).withColumn("n", F.length("bases").cast("long"))
+    rows = rows.withColumn("heads", F.sum(F.col("head").cast("long")).over(so_far)).withColumn("sum", F.sum("n").over(so_far)).withColumn("head_sum", F.max(F.when(F.col("head"), F.col("sum"))).over(so_far))
+
+    before = Window.orderBy("file", "block").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = lambda c: F.coalesce(c.over(before), F.lit(0))
+    splits = rows.groupBy("file", "block").agg(F.max("heads").alias("heads"), F.max("sum").alias("sum"), F.max("head_sum").alias("head_sum")).withColumn("all", earlier(F.sum("sum")))
+    splits = splits.select("file", "block", earlier(F.sum("heads")).alias("heads_before"), (F.col("all") - earlier(F.max(F.col("all") + F.col("head_sum")))).alias("open"))
+    place = F.when(F.col("heads") == 0, F.col("open") + F.col("sum")).otherwise(F.col("sum") - F.col("head_sum")) - F.col("n")
+    rows = rows.join(F.broadcast(splits), ["file", "block"]).select((F.col("heads_before") + F.col("heads")).alias("record"), place.alias("place"), "head", "value", "bases", "n")
+
+    name = F.regexp_extract(F.regexp_replace("value", r"^>|\r", ""), r"^(\S+)", 1)
+    records = rows.groupBy("record").agg(F.max(F.when(F.col("head"), name)).alias("id"), F.sum("n").alias("length")).filter("id <> '' or length > 0")
+    last = Window.partitionBy("id").orderBy(F.desc("record"))  # of repeated ids the last one holds
+    records = records.withColumn("i", F.row_number().over(last)).filter("i = 1").select("record", chrom(F.col("id")).alias("chrom"), "length")
+
+    used = (F.col("place") % size).cast("int")  # bases of the line's first chunk in front of it
+    cut = used + F.col("n") > size
+    parts = F.when(cut, _pieces(F.concat(F.repeat(F.lit("."), used), "bases"), size)).otherwise(F.array("bases"))
+    parts = rows.filter("head or n > 0").select("record", "place", F.when(cut, used).otherwise(0).alias("fill"), F.posexplode(parts).alias("i", "part"))
+    part = F.when((F.col("i") == 0) & (F.col("fill") > 0), F.substr("part", F.col("fill") + 1)).otherwise(F.col("part"))
+    parts = parts.select("record", (F.floor(F.col("place") / size) + F.col("i")).alias("chunk"), "place", part.alias("part"))
+    chunks = parts.groupBy("record", "chunk").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "part"))), lambda x: x["part"]), "").alias("seq"))
+    return chunks.join(records, "record").select("chrom", "chunk", "seq", "length")
 
 
 def indexed_genome(spark: SparkSession, path: str, size: int = CHUNK) -> DataFrame:

@@ -262,3 +262,35 @@ def test_indexed_genome(spark, tmp_path):
         fai.write_text(bad)
         with pytest.raises(Exception, match=told):
             reference.read_genome(spark, str(tmp_path / "g.fa"), 4).collect()
+
+
+def test_genome_of_lines(spark, tmp_path):
+    """Chunks put together from lines equal those of whole records, whatever the lines' lengths and the file's splits."""
+    import random
+
+    from genoloom.sources import reference
+
+    rnd, path = random.Random(5), tmp_path / "g.fa"
+    odd = [">chr1 first", "ACgt", "", " a c\tG\r", "T" * 41, ">2\r", ">chr3", "", ">4 x", "G" * 16, ">chr1 again", *("".join(rnd.choices("acgtN", k=rnd.choice([0, 1, 7, 8, 9, 60]))) for _ in range(300)), ">5", "A" * 8, "C" * 8]
+    for text in ("\n".join(odd), "\n".join(odd) + "\n", "made of\nACGT\n>1\nAC", ">x", ">1\n" + "ACGTTGCA" * 100 + "A"):
+        path.write_text(text)
+        want = sorted(map(tuple, reference.chunked(readers.read_fasta(spark, str(path)), 8).collect()))
+        for most in ("128m", "500"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", most)
+            spark.conf.set("spark.sql.files.openCostInBytes", "1")
+            try:
+                assert sorted(map(tuple, reference.read_genome(spark, str(path), 8).collect())) == want
+            finally:
+                spark.conf.unset("spark.sql.files.maxPartitionBytes")
+                spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def test_chunks_take_time_in_proportion(spark):
+    """A chromosome of 12 million bases in chunks of 200: 60,000 copies of it would be 720 GB."""
+    import time
+
+    from genoloom.sources import reference
+
+    began = time.time()
+    got = reference.chunked(spark.range(1).selectExpr("'chr1' AS id", "repeat('ACGT', 3000000) AS seq"), 200).selectExpr("count(*)", "sum(length(seq))", "count(DISTINCT seq)", "max(length)", "max(chunk)").first()
+    assert tuple(got) == (60_000, 12_000_000, 1, 12_000_000, 59_999) and time.time() - began < 60
