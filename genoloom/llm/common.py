@@ -81,12 +81,29 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+#: Spark's setting to remove the shuffle files of a query when it ends; otherwise they stay until the driver happens to collect its garbage.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it back: cuts lineage and survives lost executors."""
+    """Write df to the shared folder and read it back: cuts lineage and survives lost executors. Its shuffle files go as soon as it is written."""
     spark = df.sparkSession
     path = scratch(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove tables that stored() has returned, and that nothing reads any more."""
+    for t in tables:
+        remove(t.sparkSession, t.stored_at)
 
 
 def map_texts(df: DataFrame, keys: dict[str, str], schema: str, rows: Callable[[dict[str, list]], dict[str, list]]) -> DataFrame:

@@ -6,7 +6,7 @@ tiles: only sets of compatible sizes share a tile, and bitmap signatures bound t
 xor of two signatures stands for at least one member that they don't share. Larger sets have wider signatures; a wide one folds to a narrow one. What passes is intersected exactly on sorted arrays.
 
 Near copies are linked to two nodes of their group before that, and tiles then compare only nodes that are not in one class yet; so groups
-of copies cost in proportion to their size. No pair is left out but those that the bounds exclude or that are in one class already.
+of copies cost in proportion to their size. What the tiles join is compared by whole signatures before any members are gathered. No pair is left out but those that the bounds exclude or that are in one class already.
 
 Words are runs of bytes outside \\x20 and \\x09-\\x0D, A-Z lower-cased. Texts with fewer words than a shingle have their whole sequence as one;
 null texts and those without words have an empty set, linked with nothing. Repeated rows share a class; a null doc_id is
@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from genoloom.llm import words as W
-from genoloom.llm.common import fresh, small_batches, stored, table
+from genoloom.llm.common import discard, fresh, small_batches, stored, table
 from genoloom.llm.components import components
 from genoloom.llm.packing import planes, unplanes
 
@@ -218,7 +218,10 @@ def _members_of(docs: DataFrame, wanted: DataFrame, nodes: DataFrame, k: int) ->
             yield pa.RecordBatch.from_arrays([pa.array([x[1] for x in out], pa.int64()), pa.array([x[2] for x in out], pa.int64()), pa.array([x[0].tobytes() for x in out], pa.binary())], names=["key", "key2", "members"])
 
     got = docs.mapInArrow(run, f"{_KEY}, members binary").join(keys, ["key", "key2"])
-    return stored(got.groupBy("node").agg(F.first("members").alias("members")), "members")
+    members = stored(got.groupBy("node").agg(F.first("members").alias("members")), "members")
+    discard(keys)
+    bits.unpersist()
+    return members
 
 
 def _linked(pairs: DataFrame, members: DataFrame, percent: int) -> DataFrame:
@@ -440,17 +443,17 @@ def _tile_edges(meetings: DataFrame, percent: int) -> DataFrame:
     return meetings.select(*cols).repartition("tile").sortWithinPartitions("tile").mapInArrow(run, "a bigint, b bigint").distinct()
 
 
-def _blocks(rows: DataFrame) -> DataFrame:
+def _blocks(rows: DataFrame, most: int = BLOCK_MEMBERS) -> DataFrame:
     """(tile, node, component, side): every two nodes of one group and of different classes meet in one tile.
 
-    rows: (node, component, n, grp). A class of more than PURE nodes in its group has blocks of its own, which never meet each other;
+    rows: (node, component, n, grp); most: members of a block. A class of more than PURE nodes in its group has blocks of its own, which never meet each other;
     the smaller classes of a group share mixed blocks, which meet all blocks of the group and themselves.
     """
     classes = rows.groupBy("grp", "component").agg(F.count("*").alias("cnt"), F.sum("n").alias("members"))
     classes = classes.withColumn("own", F.when(F.col("cnt") > PURE, F.col("component")).otherwise(F.lit(-1)))  # whose blocks: -1 is for the mixed ones
     # small groups go to many tasks, large ones are copied to few blocks
     nodes = F.greatest(F.lit(BLOCK_NODES[0]), F.least(F.lit(BLOCK_NODES[1]), F.col("cnt") / 8))
-    parts = F.greatest(F.ceil(F.col("cnt") / nodes), F.ceil(F.col("members") / BLOCK_MEMBERS), F.lit(1)).cast("int")
+    parts = F.greatest(F.ceil(F.col("cnt") / nodes), F.ceil(F.col("members") / most), F.lit(1)).cast("int")
     spans = classes.groupBy("grp", "own").agg(F.sum("cnt").alias("cnt"), F.sum("members").alias("members")).withColumn("parts", parts)
     block = F.xxhash64("grp", "own", "part").alias("block")
     blocks = spans.select("grp", "own", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")).select("grp", "own", block)
@@ -465,17 +468,30 @@ def _blocks(rows: DataFrame) -> DataFrame:
 
 
 class _Wide:
-    """Signatures of some sets, 8 to 16 bits a member, by width; distances to them by xor."""
+    """Signatures of some sets, by width, made with 8 to 16 bits a member; distances to them by xor."""
 
     def __init__(self, sets: list[np.ndarray]):
-        self.width = np.array([max(SIGNATURE_BITS, 1 << (8 * len(s) - 1).bit_length()) for s in sets], np.int64)
-        self.row = np.zeros(len(sets), np.int64)
+        def bits(s: np.ndarray) -> np.ndarray:
+            w = max(SIGNATURE_BITS, 1 << (8 * len(s) - 1).bit_length())
+            return np.packbits((np.bincount((s & np.uint64(w - 1)).astype(np.int64), minlength=w) & 1).astype(np.uint8))
+
+        self._hold([bits(s) for s in sets])
+
+    @classmethod
+    def given(cls, signatures: list[bytes]) -> _Wide:
+        """The same of signatures that are there already, of whatever widths."""
+        out = cls.__new__(cls)
+        out._hold([np.frombuffer(x, np.uint8) for x in signatures])
+        return out
+
+    def _hold(self, signatures: list[np.ndarray]) -> None:
+        self.width = np.array([8 * len(x) for x in signatures], np.int64)
+        self.row = np.zeros(len(signatures), np.int64)
         self.of: dict[int, np.ndarray] = {}
         for w in np.unique(self.width).tolist():
             i = np.flatnonzero(self.width == w)
             self.row[i] = np.arange(len(i))
-            bits = np.stack([np.packbits((np.bincount((sets[k] & np.uint64(w - 1)).astype(np.int64), minlength=w) & 1).astype(np.uint8)) for k in i])
-            self.of[w] = bits.view(np.uint64)
+            self.of[w] = np.stack([signatures[k] for k in i]).view(np.uint64)
 
     def one(self, i: int) -> np.ndarray:
         return self.of[int(self.width[i])][self.row[i]]
@@ -528,6 +544,38 @@ def spanning_links(node: list[int], component: list[int], side: list[int], sets:
     return links
 
 
+def candidate_edges(node: np.ndarray, component: np.ndarray, side: np.ndarray, n: np.ndarray, signatures: list[bytes], percent: int) -> list[np.ndarray]:
+    """Edges (a, b) that join whatever is of two sides (0 and 1, or 2 and 2) and of different classes, and may link by sizes and whole signatures."""
+    wide, label, others = _Wide.given(signatures), np.arange(len(node)), np.flatnonzero(side != 0)
+    for i in np.flatnonzero(side != 1).tolist():
+        cand = others[others > i] if side[i] == 2 else others
+        cand = cand[(component[cand] != component[i]) & (label[cand] != label[i])]
+        cand = cand[100 * np.minimum(n[cand], n[i]) >= percent * np.maximum(n[cand], n[i])]
+        if len(cand):
+            total = n[cand] + n[i]
+            both = (total - wide.apart(wide.one(i), cand)) // 2
+            cand = cand[100 * both >= percent * (total - both)]
+            if len(cand):
+                label = _unite(label, np.full(len(cand), i), cand)
+    moved = np.flatnonzero(label != np.arange(len(node)))
+    return [node[label[moved]], node[moved]]
+
+
+def _narrowed(rows: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """Edges (a, b) that join, inside the groups of rows, what may link by whole signatures.
+
+    The narrow signatures of the meetings refute no pair of sets of much over a thousand members, so large sets that share a few members
+    make groups that grow with the square of the input. Here a set travels as n to 2n bits, and not as 64n bits of members.
+    """
+
+    def solve(t: pa.Table) -> pa.Table:
+        a, b = candidate_edges(*[t[c].to_numpy() for c in ("node", "component", "side", "n")], t["signature"].to_pylist(), percent)
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    tiles = _blocks(rows, 64 * BLOCK_MEMBERS).join(nodes.select("node", "n", "signature"), "node")
+    return tiles.select("tile", "node", "component", "side", "n", "signature").groupBy("tile").applyInArrow(solve, "a bigint, b bigint").distinct()
+
+
 def _group_links(rows: DataFrame, members: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) between classes of the nodes of a group, from tiles that hold whole member arrays: fewer than a tile's rows."""
 
@@ -547,30 +595,40 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     hot = spark.sparkContext.broadcast(_hot_members(docs, k))
     sets = stored(_sets(docs, k, percent, hot), "sets")
+    hot.unpersist()
     nodes = sets.filter("n > 0").groupBy("key", "key2").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first(F.struct("signature", "prefix", "star", "n_hot")).alias("x"))
     nodes = nodes.select("key", "key2", "doc_id", "n", "x.signature", "x.prefix", "x.star", "x.n_hot", F.monotonically_increasing_id().alias("node")).mapInArrow(_unpack, f"{_KEY}, doc_id {docs.schema['doc_id'].dataType.simpleString()}, n bigint, signature binary, node bigint, prefix array<bigint>, star array<bigint>, n_hot bigint")
     nodes = stored(nodes, "nodes")
+    rows_of = stored(sets.select("doc_id", "n", "key", "key2"), "rows_of")  # what the result needs; prefixes and signatures are in nodes
+    discard(sets)
 
     star = stored(_bounded(_star_pairs(nodes), nodes, percent), "star")
     members = _members_of(docs, star.select(F.col("a").alias("node")).union(star.select("b")), nodes, k)
     links = stored(_linked(star, members, percent), "links")
+    discard(star, members)
     labels = components(links)
     marked = nodes.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
 
     small_batches(spark, 8192)
     edges = stored(_tile_edges(_meetings(marked, percent), percent), "edges")
     small_batches(spark)
+    names = stored(nodes.select("key", "key2", "node", "doc_id"), "names")
     if not edges.isEmpty():
-        groups = components(edges).withColumnRenamed("component", "grp")
-        rows = stored(marked.select("node", "component", "n").join(groups, "node"), "rows")
-        members = _members_of(docs, rows, nodes, k)
+        grouped = lambda e, name: stored(marked.select("node", "component", "n").join(components(e).withColumnRenamed("component", "grp"), "node"), name)
+        wider = grouped(edges, "wider")
+        narrowed = stored(_narrowed(wider, nodes, percent), "narrowed")
+        rows = grouped(narrowed, "rows")
+        discard(labels, wider, narrowed)
+        members = _members_of(docs, rows, names, k)
         links = links.union(stored(_group_links(rows, members, percent), "more"))
+        discard(rows, members)
         labels = components(links)
-    classes = nodes.select("key", "key2", "node", "doc_id").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    discard(nodes, edges)
+    classes = names.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     smallest = classes.groupBy("component").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("n_texts"))
     classes = classes.join(smallest, "component").select("key", "key2", "component_id", "n_texts")
-    some = sets.filter("n > 0").select("doc_id", "n", "key", "key2").join(classes, ["key", "key2"]).select("doc_id", F.col("n").alias("n_shingles"), "component_id", "n_texts")
-    none = sets.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(0).cast("long").alias("n_texts"))
+    some = rows_of.filter("n > 0").select("doc_id", "n", "key", "key2").join(classes, ["key", "key2"]).select("doc_id", F.col("n").alias("n_shingles"), "component_id", "n_texts")
+    none = rows_of.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(0).cast("long").alias("n_texts"))
     return some.unionByName(none)
 
 

@@ -386,3 +386,59 @@ def test_archives(spark, tmp_path):
         assert (r.payload_bytes, r.payload_digest) == (len(h), hashlib.sha1(h).hexdigest())
         assert (r.record_type, r.refers_to) == (("response", None) if ref == r.page_id else ("revisit", ref))
     assert warc.read_archives(warc.merge_index(warc.write_archives(d.limit(0), f"file://{tmp_path}/c")), f"file://{tmp_path}/c").count() == 0
+
+
+def test_large_sets_that_share_a_part_gather_no_members(spark, monkeypatch):
+    """Sets of 3,000 words that share 1,200 of them: narrow signatures leave room for a link, whole ones don't."""
+    seen, real = [], jaccard._group_links
+    monkeypatch.setattr(jaccard, "_group_links", lambda rows, *rest: seen.append(sorted(r.n for r in rows.collect())) or real(rows, *rest))
+    words = lambda name, n: " ".join(f"{name}{i}" for i in range(n))
+    rows = [(i, f"{words('all', 1200)} {words(f'own{i}x', 1800)}") for i in range(8)]
+    got = jaccard.join(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), k=1, percent=85).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == [(i, 3000, i) for i in range(8)]
+    assert seen == [[]]
+
+
+def test_candidate_edges_join_what_links():
+    """Whatever links is inside one group of edges, be sets small or large, in one block or two."""
+    rng = np.random.default_rng(8)
+    sets = []
+    for n in (3, 40, 700, 2500):
+        for _ in range(6):
+            whole = rng.integers(0, 2**63, n, dtype=np.uint64)
+            sets += [np.unique(np.concatenate([whole[: n - cut], rng.integers(0, 2**63, cut, dtype=np.uint64)])) for cut in (0, n // 20, n // 14, n // 2)]
+    node, n, signatures = np.arange(len(sets)) * 7, np.array([len(s) for s in sets]), [jaccard.signature(s) for s in sets]
+    for side in (np.full(len(sets), 2), np.arange(len(sets)) % 2):
+        a, b = jaccard.candidate_edges(node, node, side, n, signatures, 85)
+        group = {int(x): int(x) for x in node}
+        for x, y in zip(a.tolist(), b.tolist()):
+            old, new = group[y], group[x]
+            group = {k: new if v == old else v for k, v in group.items()}
+        for i in range(len(sets)):
+            for j in range(i):
+                both = len(np.intersect1d(sets[i], sets[j]))
+                if (side[i] == 2 or side[i] != side[j]) and 100 * both >= 85 * (len(sets[i]) + len(sets[j]) - both):
+                    assert group[int(node[i])] == group[int(node[j])]
+        assert len(a) < len(sets)
+
+
+def test_tables_and_shuffles_go_when_used(spark, docs):
+    """A stored table leaves no shuffle files; the join removes its tables of sets, nodes and members."""
+    import os
+    import time
+
+    from genoloom.llm import common
+
+    files = lambda: spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().size()
+    before = files()
+    table = common.stored(spark.range(5000).selectExpr("id % 97 AS k").groupBy("k").count(), "counts")
+    for _ in range(50):
+        if files() <= before:
+            break
+        time.sleep(0.1)
+    assert files() <= before and table.count() == 97
+    common.discard(table)
+    folder = common.shared_dir(spark).removeprefix("file://")
+    there = set(os.listdir(folder))
+    assert jaccard.join(docs, k=4, percent=85).count() == docs.count()
+    assert not {x.split("-")[0] for x in set(os.listdir(folder)) - there} & {"counts", "sets", "nodes", "star", "keys", "members", "edges", "rows"}
